@@ -19,6 +19,9 @@ from seqloom.storage import Scratch
 
 NONE = -1
 
+# Levels of the expansion that are planned together.
+LEVELS_PER_PLAN = 8
+
 
 def _hash(col: Column, round_no: int) -> Column:
     return F.xxhash64(col, F.lit(round_no))
@@ -37,29 +40,38 @@ def _finished() -> Column:
     return (F.col("nxt") == F.col("id")) | ((F.col("nxt") == NONE) & (F.col("prv") == NONE))
 
 
-def _contract(state: DataFrame, round_no: int) -> DataFrame:
-    """One round: kept nodes stay, leaving nodes become messages to their neighbours."""
+def _contract(state: DataFrame, round_no: int, carry: bool) -> DataFrame:
+    """One round: kept nodes stay, leaving nodes become messages to their neighbours.
+
+    With `carry`, rows that are gone or finished stay in the table (column `gone` is the round a node
+    left in), so that several rounds can follow each other before anything is stored.
+    """
     null = F.lit(None).cast("long")
     zero = F.lit(0).cast("long")
+    c = F.col
 
-    def row(node, prv, new_prv, nxt, new_nxt, dp, low) -> Column:
+    def row(node, prv, new_prv, nxt, new_nxt, dp, low, gone) -> Column:
         return F.struct(
             node.alias("id"), prv.alias("prv"), new_prv.alias("new_prv"), nxt.alias("nxt"),
-            new_nxt.alias("new_nxt"), dp.alias("dp"), low.alias("low"),
+            new_nxt.alias("new_nxt"), dp.alias("dp"), low.alias("low"), gone.alias("gone"),
         )
 
-    c = F.col
-    kept = row(c("id"), c("prv"), null, c("nxt"), null, c("dp"), c("low"))
-    to_prv = row(c("prv"), null, null, null, c("nxt"), zero, c("low"))
-    to_nxt = row(c("nxt"), null, c("prv"), null, null, c("dp"), null)
+    def kept(gone) -> Column:
+        return row(c("id"), c("prv"), null, c("nxt"), null, c("dp"), c("low"), gone)
+
+    to_prv = row(c("prv"), null, null, null, c("nxt"), zero, c("low"), null)
+    to_nxt = row(c("nxt"), null, c("prv"), null, null, c("dp"), null, null)
+    stays = ~_leaves(round_no)
+    if carry:
+        stays = stays | c("gone").isNotNull() | _finished()
+    log = [kept(F.lit(round_no).cast("long"))] if carry else []
     sent = (
-        F.when(~_leaves(round_no), F.array(kept))
-        .when(c("nxt") == NONE, F.array(to_prv))
-        .otherwise(F.array(to_prv, to_nxt))
+        F.when(stays, F.array(kept(c("gone"))))
+        .when(c("nxt") == NONE, F.array(*log, to_prv))
+        .otherwise(F.array(*log, to_prv, to_nxt))
     )
     return (
-        state.where(~_finished())
-        .select(F.explode(sent).alias("m"))
+        state.select(F.explode(sent).alias("m"))
         .select("m.*")
         .groupBy("id")
         .agg(
@@ -67,73 +79,84 @@ def _contract(state: DataFrame, round_no: int) -> DataFrame:
             F.coalesce(F.max("new_nxt"), F.max("nxt")).alias("nxt"),
             F.sum("dp").alias("dp"),
             F.min("low").alias("low"),
+            F.max("gone").alias("gone"),
         )
     )
 
 
+def _rounds_at_once(open_nodes: int) -> int:
+    """Large states are stored after each round; small ones cost less to carry than to store."""
+    return 1 if open_nodes > 1_000_000 else 4 if open_nodes > 50_000 else 8
+
+
 def _expand(known: DataFrame, left: DataFrame) -> DataFrame:
-    """Give the nodes that left in one round the values of the neighbour they left to."""
-    null = F.lit(None).cast("long")
-    have = known.select(
-        F.col("id").alias("_key"), "label", "circuit", "head", "rank", "is_cycle",
-        null.alias("_child"), null.alias("_d"),
-    )
-    want = left.select(
-        F.col("prv").alias("_key"),
-        *[null.alias(n) for n in ("label", "circuit", "head", "rank")],
-        F.lit(None).cast("boolean").alias("is_cycle"),
-        F.col("id").alias("_child"),
-        F.col("dp").alias("_d"),
-    )
-    names = ("label", "circuit", "head", "rank", "is_cycle", "_child", "_d")
-    met = have.unionByName(want).groupBy("_key").agg(*[F.max(n).alias(n) for n in names])
-    same = [F.col("label"), F.col("circuit"), F.col("head")]
+    """Give the nodes that left in one round the values of the neighbour they left to.
+
+    At most one node leaves to each neighbour, so both sides of the join have unique keys.
+    """
+    child = left.select(F.col("prv").alias("_to"), F.col("id").alias("_child"), F.col("dp").alias("_d"))
+    met = known.join(child, known.id == child._to, "left")
+    same = [F.col(n).alias(n) for n in ("label", "circuit", "head", "is_cycle")]
 
     def out(node: Column, rank: Column) -> Column:
-        return F.struct(
-            node.alias("id"), *same, rank.alias("rank"), F.col("is_cycle").alias("is_cycle")
-        )
+        return F.struct(node.alias("id"), *same, rank.alias("rank"))
 
-    own = out(F.col("_key"), F.col("rank"))
-    child = out(F.col("_child"), F.col("rank") + F.col("_d"))
-    both = F.when(F.col("_child").isNull(), F.array(own)).otherwise(F.array(own, child))
+    own = out(F.col("id"), F.col("rank"))
+    other = out(F.col("_child"), F.col("rank") + F.col("_d"))
+    both = F.when(F.col("_child").isNull(), F.array(own)).otherwise(F.array(own, other))
     return met.select(F.explode(both).alias("n")).select("n.*")
 
 
-def trace_chains(links: DataFrame, scratch: Scratch, keep_result: bool = False) -> DataFrame:
+COLUMNS = ("id", "label", "circuit", "head", "rank", "is_cycle")
+
+
+def trace_chains(
+    links: DataFrame, scratch: Scratch, columns: tuple[str, ...] = COLUMNS, keep_result: bool = False
+) -> DataFrame:
     """(id, label, circuit, head, rank, is_cycle) for links (id, prv, nxt), NULL for no neighbour.
 
     `label` is the smallest id of the chain, `circuit` the dense rank of that label, `head` the first
     node of a path (for a cycle, the node its ranks count from), `rank` the distance from the head.
     The result reads tables of `scratch`; with `keep_result` it is written and outlives them.
     """
-    start = links.select(
+    state = links.select(
         "id",
         F.coalesce("prv", F.lit(NONE)).cast("long").alias("prv"),
         F.coalesce("nxt", F.lit(NONE)).cast("long").alias("nxt"),
         F.when(F.col("prv").isNull(), 0).otherwise(1).cast("long").alias("dp"),
         F.col("id").alias("low"),
+        F.lit(None).cast("long").alias("gone"),
     )
-    states = [scratch.write(start)]
-    while not states[-1].where(~_finished()).isEmpty():
-        states.append(scratch.write(_contract(states[-1], len(states) - 1)))
+    still_open = F.col("gone").isNull() & ~_finished()
+    stored, open_nodes = scratch.write_counting(state, still_open)
+    tables = [stored]
+    left: list[DataFrame] = []  # per round: the nodes that left, with the neighbour they left to
+    while open_nodes:
+        state = stored.where(still_open)
+        left.append(state.where(_leaves(len(left))))
+        state = _contract(state, len(left) - 1, carry=False)
+        inside = []
+        for _ in range(_rounds_at_once(open_nodes) - 1):
+            state = _contract(state, len(left) + len(inside), carry=True)
+            inside.append(len(left) + len(inside))
+        stored, open_nodes = scratch.write_counting(state, still_open)
+        tables.append(stored)
+        left.extend(stored.where(F.col("gone") == r) for r in inside)
     found = [
-        s.where(_finished()).select(
-            "id", "low", (F.col("prv") != NONE).alias("is_cycle"), F.lit(r).alias("_round")
+        t.where(F.col("gone").isNull() & _finished()).select(
+            "id", "low", (F.col("prv") != NONE).alias("is_cycle")
         )
-        for r, s in enumerate(states)
+        for t in tables
     ]
     roots = scratch.write(reduce(DataFrame.unionByName, found))
-    roots = scratch.write(dense_index(roots, ["low"], out="circuit"))
-
-    def roots_of(round_no: int) -> DataFrame:
-        return roots.where(F.col("_round") == round_no).select(
-            "id", F.col("low").alias("label"), "circuit", F.col("id").alias("head"),
-            F.lit(0).cast("long").alias("rank"), "is_cycle",
-        )
-
-    known = roots_of(len(states) - 1)
-    for r in range(len(states) - 2, -1, -1):
-        left = states[r].where(~_finished() & _leaves(r)).select("id", "prv", "dp")
-        known = _expand(known, left).unionByName(roots_of(r))
+    # A root takes part in no later round, so all roots can be known from the last round on.
+    known = scratch.write(dense_index(roots, ["low"], out="circuit")).select(
+        "id", F.col("low").alias("label"), "circuit", F.col("id").alias("head"), "is_cycle",
+        F.lit(0).cast("long").alias("rank"),
+    )
+    for r in range(len(left) - 1, -1, -1):
+        known = _expand(known, left[r].select("id", "prv", "dp"))
+        if r and r % LEVELS_PER_PLAN == 0:
+            known = scratch.write(known)
+    known = known.select(*columns)
     return scratch.write(known, keep=True) if keep_result else known

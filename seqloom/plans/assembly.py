@@ -58,7 +58,7 @@ class Assembly:
     def chains(self) -> DataFrame:
         """Components of the successor graph before the swipe."""
         steps = Scratch(self.reads.sparkSession, "chains")
-        done = trace_chains(self.links, steps, keep_result=True)
+        done = trace_chains(self.links, steps, ("id", "label", "circuit"), keep_result=True)
         steps.drop_all()
         return done
 
@@ -82,7 +82,9 @@ class Assembly:
     def merged_chains(self) -> DataFrame:
         """Components after the swipe."""
         steps = Scratch(self.reads.sparkSession, "merged")
-        done = trace_chains(self.merged_links(), steps, keep_result=True)
+        done = trace_chains(
+            self.merged_links(), steps, ("id", "head", "rank", "is_cycle"), keep_result=True
+        )
         steps.drop_all()
         return done
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -54,6 +54,12 @@ class Scratch:
             self._intermediate.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """Store `df` and count the rows that meet `condition` while they are written."""
+        seen = Observation()
+        stored = self.write(df.observe(seen, F.count_if(condition).alias("n")))
+        return stored, seen.get.get("n", 0)
+
     def drop_all(self) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
