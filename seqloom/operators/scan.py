@@ -210,3 +210,26 @@ def dense_index(
     """Number rows 0, 1, 2, ... along a unique order without a one-task window."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
     return scan(ones, "_one", order_by, "add", out=out, buckets=buckets).drop("_one")
+
+
+def row_numbers(
+    df: DataFrame,
+    order_by: Sequence[str],
+    partition_by: Sequence[str],
+    out: str = "idx",
+    buckets: int | None = None,
+) -> DataFrame:
+    """Number rows 0, 1, 2, ... per partition; a partition may be larger than a task should be."""
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    return scan(ones, "_one", order_by, partition_by=partition_by, out=out, buckets=buckets).drop("_one")
+
+
+def following(
+    df: DataFrame, node: str, order_by: Sequence[str], partition_by: Sequence[str]
+) -> DataFrame:
+    """(node, following): the next row of the same partition, NULL at its end."""
+    placed = row_numbers(df, order_by, partition_by, out="_at").select(*partition_by, "_at", node)
+    ahead = placed.select(
+        *partition_by, (F.col("_at") - 1).alias("_at"), F.col(node).alias("following")
+    )
+    return placed.join(ahead, [*partition_by, "_at"], "left").select(node, "following")
