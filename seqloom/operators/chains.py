@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.scan import dense_index
@@ -23,65 +23,62 @@ NONE = -1
 LEVELS_PER_PLAN = 8
 
 
-def _hash(col: Column, round_no: int) -> Column:
-    return F.xxhash64(col, F.lit(round_no))
+# The steps are SQL text: a round is one expression, and building it column by column would cost
+# the driver more time than a small round takes to run.
 
+# The round is the column r, not a literal, so that all rounds share one compiled plan.
+LEAVES = (
+    f"(prv <> {NONE} AND xxhash64(id, r) > xxhash64(prv, r)"
+    f" AND (nxt = {NONE} OR xxhash64(id, r) > xxhash64(nxt, r)))"
+)
+FINISHED = f"(nxt = id OR (nxt = {NONE} AND prv = {NONE}))"
+OPEN = f"(gone IS NULL AND NOT {FINISHED})"
 
-def _leaves(round_no: int) -> Column:
-    me = _hash(F.col("id"), round_no)
+
+def _row(id, prv="N", new_prv="N", nxt="N", new_nxt="N", dp="0L", low="N", gone="N") -> str:
+    values = {
+        "id": id, "prv": prv, "new_prv": new_prv, "nxt": nxt, "new_nxt": new_nxt, "dp": dp,
+        "low": low, "gone": gone, "r": "r + 1",
+    }
+    null = "CAST(NULL AS BIGINT)"
+    return "named_struct(" + ", ".join(f"'{k}', {null if v == 'N' else v}" for k, v in values.items()) + ")"
+
+
+def _kept(gone: str) -> str:
+    return _row("id", prv="prv", nxt="nxt", dp="dp", low="low", gone=gone)
+
+
+TO_PRV = _row("prv", new_nxt="nxt", low="low")
+TO_NXT = _row("nxt", new_prv="prv", dp="dp")
+
+
+def _sent(stays: str, log: str) -> str:
     return (
-        (F.col("prv") != NONE)
-        & (me > _hash(F.col("prv"), round_no))
-        & ((F.col("nxt") == NONE) | (me > _hash(F.col("nxt"), round_no)))
+        f"inline(CASE WHEN {stays} THEN array({_kept('gone')}) "
+        f"WHEN nxt = {NONE} THEN array({log}{TO_PRV}) ELSE array({log}{TO_PRV}, {TO_NXT}) END)"
     )
 
 
-def _finished() -> Column:
-    return (F.col("nxt") == F.col("id")) | ((F.col("nxt") == NONE) & (F.col("prv") == NONE))
+SEND = _sent(f"NOT {LEAVES}", "")
+SEND_AND_CARRY = _sent(f"NOT {LEAVES} OR NOT {OPEN}", _kept("r") + ", ")
+MEET = (
+    "coalesce(max(new_prv), max(prv)) AS prv",
+    "coalesce(max(new_nxt), max(nxt)) AS nxt",
+    "sum(dp) AS dp",
+    "min(low) AS low",
+    "max(gone) AS gone",
+    "max(r) AS r",
+)
 
 
-def _contract(state: DataFrame, round_no: int, carry: bool) -> DataFrame:
+def _contract(state: DataFrame, carry: bool) -> DataFrame:
     """One round: kept nodes stay, leaving nodes become messages to their neighbours.
 
     With `carry`, rows that are gone or finished stay in the table (column `gone` is the round a node
     left in), so that several rounds can follow each other before anything is stored.
     """
-    null = F.lit(None).cast("long")
-    zero = F.lit(0).cast("long")
-    c = F.col
-
-    def row(node, prv, new_prv, nxt, new_nxt, dp, low, gone) -> Column:
-        return F.struct(
-            node.alias("id"), prv.alias("prv"), new_prv.alias("new_prv"), nxt.alias("nxt"),
-            new_nxt.alias("new_nxt"), dp.alias("dp"), low.alias("low"), gone.alias("gone"),
-        )
-
-    def kept(gone) -> Column:
-        return row(c("id"), c("prv"), null, c("nxt"), null, c("dp"), c("low"), gone)
-
-    to_prv = row(c("prv"), null, null, null, c("nxt"), zero, c("low"), null)
-    to_nxt = row(c("nxt"), null, c("prv"), null, null, c("dp"), null, null)
-    stays = ~_leaves(round_no)
-    if carry:
-        stays = stays | c("gone").isNotNull() | _finished()
-    log = [kept(F.lit(round_no).cast("long"))] if carry else []
-    sent = (
-        F.when(stays, F.array(kept(c("gone"))))
-        .when(c("nxt") == NONE, F.array(*log, to_prv))
-        .otherwise(F.array(*log, to_prv, to_nxt))
-    )
-    return (
-        state.select(F.explode(sent).alias("m"))
-        .select("m.*")
-        .groupBy("id")
-        .agg(
-            F.coalesce(F.max("new_prv"), F.max("prv")).alias("prv"),
-            F.coalesce(F.max("new_nxt"), F.max("nxt")).alias("nxt"),
-            F.sum("dp").alias("dp"),
-            F.min("low").alias("low"),
-            F.max("gone").alias("gone"),
-        )
-    )
+    sent = state.selectExpr(SEND_AND_CARRY if carry else SEND)
+    return sent.groupBy("id").agg(*[F.expr(m) for m in MEET])
 
 
 def _rounds_at_once(open_nodes: int) -> int:
@@ -89,22 +86,26 @@ def _rounds_at_once(open_nodes: int) -> int:
     return 1 if open_nodes > 1_000_000 else 4 if open_nodes > 50_000 else 8
 
 
+def _handed(id: str, rank: str) -> str:
+    return (
+        f"named_struct('id', {id}, 'label', label, 'circuit', circuit, 'head', head, "
+        f"'is_cycle', is_cycle, 'rank', {rank})"
+    )
+
+
+HAND_ON = (
+    f"inline(CASE WHEN child IS NULL THEN array({_handed('id', 'rank')}) "
+    f"ELSE array({_handed('id', 'rank')}, {_handed('child', 'rank + d')}) END)"
+)
+
+
 def _expand(known: DataFrame, left: DataFrame) -> DataFrame:
     """Give the nodes that left in one round the values of the neighbour they left to.
 
     At most one node leaves to each neighbour, so both sides of the join have unique keys.
     """
-    child = left.select(F.col("prv").alias("_to"), F.col("id").alias("_child"), F.col("dp").alias("_d"))
-    met = known.join(child, known.id == child._to, "left")
-    same = [F.col(n).alias(n) for n in ("label", "circuit", "head", "is_cycle")]
-
-    def out(node: Column, rank: Column) -> Column:
-        return F.struct(node.alias("id"), *same, rank.alias("rank"))
-
-    own = out(F.col("id"), F.col("rank"))
-    other = out(F.col("_child"), F.col("rank") + F.col("_d"))
-    both = F.when(F.col("_child").isNull(), F.array(own)).otherwise(F.array(own, other))
-    return met.select(F.explode(both).alias("n")).select("n.*")
+    child = left.selectExpr("prv AS to", "id AS child", "dp AS d")
+    return known.join(child, known.id == child.to, "left").selectExpr(HAND_ON)
 
 
 COLUMNS = ("id", "label", "circuit", "head", "rank", "is_cycle")
@@ -119,41 +120,38 @@ def trace_chains(
     node of a path (for a cycle, the node its ranks count from), `rank` the distance from the head.
     The result reads tables of `scratch`; with `keep_result` it is written and outlives them.
     """
-    state = links.select(
+    state = links.selectExpr(
         "id",
-        F.coalesce("prv", F.lit(NONE)).cast("long").alias("prv"),
-        F.coalesce("nxt", F.lit(NONE)).cast("long").alias("nxt"),
-        F.when(F.col("prv").isNull(), 0).otherwise(1).cast("long").alias("dp"),
-        F.col("id").alias("low"),
-        F.lit(None).cast("long").alias("gone"),
+        f"coalesce(prv, {NONE}) AS prv",
+        f"coalesce(nxt, {NONE}) AS nxt",
+        "CASE WHEN prv IS NULL THEN 0L ELSE 1L END AS dp",
+        "id AS low",
+        "CAST(NULL AS BIGINT) AS gone",
+        "0L AS r",
     )
-    still_open = F.col("gone").isNull() & ~_finished()
-    stored, open_nodes = scratch.write_counting(state, still_open)
+    stored, open_nodes = scratch.write_counting(state, F.expr(OPEN))
     tables = [stored]
     left: list[DataFrame] = []  # per round: the nodes that left, with the neighbour they left to
     while open_nodes:
-        state = stored.where(still_open)
-        left.append(state.where(_leaves(len(left))))
-        state = _contract(state, len(left) - 1, carry=False)
+        state = stored.where(OPEN)
+        left.append(state.where(LEAVES))
+        state = _contract(state, carry=False)
         inside = []
         for _ in range(_rounds_at_once(open_nodes) - 1):
-            state = _contract(state, len(left) + len(inside), carry=True)
+            state = _contract(state, carry=True)
             inside.append(len(left) + len(inside))
-        stored, open_nodes = scratch.write_counting(state, still_open)
+        stored, open_nodes = scratch.write_counting(state, F.expr(OPEN))
         tables.append(stored)
         left.extend(stored.where(F.col("gone") == r) for r in inside)
     found = [
-        t.where(F.col("gone").isNull() & _finished()).select(
-            "id", "low", (F.col("prv") != NONE).alias("is_cycle")
-        )
+        t.where(f"gone IS NULL AND {FINISHED}").selectExpr("id", "low", f"prv <> {NONE} AS is_cycle")
         for t in tables
     ]
     roots = scratch.write(reduce(DataFrame.unionByName, found))
     # A root takes part in no later round, so all roots can be known from the last round on.
-    known = scratch.write(dense_index(roots, ["low"], out="circuit")).select(
-        "id", F.col("low").alias("label"), "circuit", F.col("id").alias("head"), "is_cycle",
-        F.lit(0).cast("long").alias("rank"),
-    )
+    known = scratch.write(dense_index(roots, ["low"], out="circuit")).selectExpr(
+        "id", "low AS label", "circuit", "id AS head", "is_cycle", "0L AS rank"
+    )
     for r in range(len(left) - 1, -1, -1):
         known = _expand(known, left[r].select("id", "prv", "dp"))
         if r and r % LEVELS_PER_PLAN == 0:
