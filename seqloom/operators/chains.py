@@ -104,8 +104,8 @@ def _expand(known: DataFrame, left: DataFrame) -> DataFrame:
 
     At most one node leaves to each neighbour, so both sides of the join have unique keys.
     """
-    child = left.selectExpr("prv AS to", "id AS child", "dp AS d")
-    return known.join(child, known.id == child.to, "left").selectExpr(HAND_ON)
+    child = left.selectExpr("prv AS parent", "id AS child", "dp AS d")
+    return known.join(child, F.expr("id = parent"), "left").selectExpr(HAND_ON)
 
 
 COLUMNS = ("id", "label", "circuit", "head", "rank", "is_cycle")
