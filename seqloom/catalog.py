@@ -102,7 +102,7 @@ def kmer_distinct(spark, sf):
 
 @query
 def kmer_index(spark, sf):
-    return dense_index(kmer_distinct(spark, sf), ["kmer"], out="vidx")
+    return dense_index(materialize(kmer_distinct(spark, sf), "kmers"), ["kmer"], out="vidx")
 
 
 @query
@@ -437,7 +437,7 @@ def scan_segmented_max_backward(spark, sf):
 def scan_lineitem(spark, sf):
     """Exclusive sum of line counts over orders: where the lines of each order start."""
     sizes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return scan(sizes, "n", ["l_orderkey"])
+    return scan(materialize(sizes, "sizes"), "n", ["l_orderkey"])
 
 
 # ---- primitives --------------------------------------------------------------------------------
@@ -494,7 +494,7 @@ def random_words(spark, sf):
 def list_rank(spark, sf):
     """Rank of each event in the list of its user's events."""
     events = table(spark, sf, "events").select("event_id", "ts", "user_id")
-    lists = materialize(following(events, "event_id", ["ts", "event_id"], ["user_id"]), "lists")
+    lists = following(events, "event_id", ["ts", "event_id"], ["user_id"])
     return pr.list_rank(lists, "event_id", "following", scratch(spark, "rank"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import hashing as h
 from seqloom.operators.scan import dense_index, scan_columns
-from seqloom.storage import lookup
+from seqloom.storage import lookup, materialize
 
 
 def build_index(df: DataFrame, key: str, value: str, keys: int | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def bucket_histogram(df: DataFrame, key: str, keys: int | None = None) -> DataFr
     sizes = df.groupBy(h.bucket_hash(F.col(key), buckets).alias("bucket")).agg(
         F.count(F.lit(1)).alias("size")
     )
-    return scan_columns(sizes, {"offset": "size"}, ["bucket"])
+    return scan_columns(materialize(sizes, "sizes"), {"offset": "size"}, ["bucket"])
 
 
 def probe(
@@ -65,7 +65,8 @@ def slot_candidates(df: DataFrame, key: str, seed: int, keys: int | None = None)
 def multi_value_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, count, offset): where the values of each key start in `multi_value_values`."""
     sizes = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("count"))
-    return scan_columns(sizes, {"offset": "count"}, ["key"]).select("key", "count", "offset")
+    stored = materialize(sizes, "sizes")
+    return scan_columns(stored, {"offset": "count"}, ["key"]).select("key", "count", "offset")
 
 
 def multi_value_values(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -79,4 +80,5 @@ def multi_value_values(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def compacting_index(df: DataFrame, key: str) -> DataFrame:
     """(key, idx): distinct keys with dense numbers."""
-    return dense_index(df.select(F.col(key).alias("key")).distinct(), ["key"])
+    keys = materialize(df.select(F.col(key).alias("key")).distinct(), "keys")
+    return dense_index(keys, ["key"])

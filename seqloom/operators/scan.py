@@ -3,7 +3,8 @@
 A scan over a total order is done in two levels. Rows get a bucket number that never decreases along
 the order (boundaries come from a sample and only steer the split; every row is kept). One pass gives
 the total of each bucket, a window over those few totals gives the carry into each bucket, and a
-window inside each bucket gives the local scan. The rows are shuffled once.
+window inside each bucket gives the local scan. The rows are shuffled once. The input is read three times, so anything dearer than a table scan should be stored
+first (`seqloom.storage.materialize`).
 
 A partitioned scan uses the same buckets, so a partition that holds a third of the rows still spreads
 over the buckets of the order.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.storage import shuffle_width
+from seqloom.storage import materialize, shuffle_width
 
 MAX_BUCKETS = 4096
 _SAMPLES_PER_BUCKET = 64
@@ -200,8 +201,10 @@ def segmented_scan(
     """Scan that restarts wherever `flag` is 1 (a flag starts a segment in forward order)."""
     marked = df.withColumn("_flag", F.col(flag).cast("long"))
     with_id = scan(marked, "_flag", order_by, "add", inclusive=True, out="_segment", buckets=buckets)
+    # Written once: the second scan reads its input for the boundaries, the totals and the rows.
+    with_id = materialize(with_id.drop("_flag"), "segments")
     done = scan(
-        with_id.drop("_flag"), value, order_by, op, inclusive, backward, ["_segment"], out, buckets
+        with_id, value, order_by, op, inclusive, backward, ["_segment"], out, buckets
     )
     return done.drop("_segment")
 
@@ -231,6 +234,7 @@ def following(
 ) -> DataFrame:
     """(node, following): the next row of the same partition, NULL at its end."""
     placed = row_numbers(df, order_by, partition_by, out="_at").select(*partition_by, "_at", node)
+    placed = materialize(placed, "places")
     ahead = placed.select(
         *partition_by, (F.col("_at") - 1).alias("_at"), F.col(node).alias("following")
     )

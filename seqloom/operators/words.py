@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import encoding as enc
+from seqloom.storage import shuffle_width
 
 # Bytes of one read handled per row before windows are cut; bounds the size of any array.
 PIECE = 1 << 16
@@ -41,6 +42,9 @@ def windows(
         "_start",
         F.substring("_digits", F.col("_start") + 1, F.lit(PIECE + length - 1)).alias("_piece"),
     )
+    # A piece grows about sixteenfold below. Dealing pieces out evenly costs little next to that and
+    # keeps a file of one row group, or one huge read, from becoming one task.
+    pieces = pieces.repartition(shuffle_width(reads.sparkSession))
     offsets = F.sequence(F.lit(0), F.length("_piece") - length)
     cut = pieces.select(id_col, "strand", "_start", "_piece", F.explode(offsets).alias("_off"))
     word = F.substring("_piece", F.col("_off") + 1, F.lit(length)).cast("string")
