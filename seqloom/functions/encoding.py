@@ -36,8 +36,8 @@ def word_mask(bases: int) -> int:
 
 
 def _code_digits(text: Column, codes: tuple[int, ...]) -> Column:
-    """One base-4 digit per byte. Only the low hex digit of a byte matters."""
-    low = F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(.)(.)", "$2")
+    """One base-4 digit per byte of a string or binary. Only the low hex digit of a byte matters."""
+    low = F.regexp_replace(F.hex(text), "(.)(.)", "$2")
     return F.translate(low, _HEX, "".join(str(codes[i & 7]) for i in range(16)))
 
 

@@ -21,37 +21,43 @@ def windows(
     windows are cut from bytes, so the cost per window does not grow with the read.
     """
     enc.check_word_length(length)
-    strands = {"forward": ["f"], "revcomp": ["r"], "both": ["f", "r"]}[strand]
-    made = {"f": enc.forward_digits, "r": enc.complement_digits}
-    seq = F.col(seq_col)
-    rows = reads.where(F.octet_length(seq) >= length)
-    if len(strands) == 1:
-        rows = rows.select(
-            F.col(id_col), F.lit(strands[0]).alias("strand"), made[strands[0]](seq).alias("_text")
-        )
-    else:
-        pair = F.array(
-            *[F.struct(F.lit(s).alias("strand"), made[s](seq).alias("_text")) for s in strands]
-        )
-        rows = rows.select(F.col(id_col), F.explode(pair).alias("_s")).select(id_col, "_s.*")
-    rows = rows.select(id_col, "strand", F.encode("_text", "UTF-8").alias("_digits"))
-    starts = F.sequence(F.lit(0), F.length("_digits") - length, F.lit(PIECE))
-    pieces = rows.select(id_col, "strand", "_digits", F.explode(starts).alias("_start")).select(
+    rows = reads.select(F.col(id_col), F.col(seq_col).cast("binary").alias("_bytes")).where(
+        F.length("_bytes") >= length
+    )
+    starts = F.sequence(F.lit(0), F.length("_bytes") - length, F.lit(PIECE))
+    pieces = rows.select(id_col, "_bytes", F.explode(starts).alias("_start")).select(
         id_col,
-        "strand",
         "_start",
-        F.substring("_digits", F.col("_start") + 1, F.lit(PIECE + length - 1)).alias("_piece"),
+        F.length("_bytes").alias("_size"),
+        F.substring("_bytes", F.col("_start") + 1, F.lit(PIECE + length - 1)).alias("_piece"),
     )
     # A piece grows about sixteenfold below. Dealing pieces out evenly costs little next to that and
     # keeps a file of one row group, or one huge read, from becoming one task.
     pieces = pieces.repartition(shuffle_width(reads.sparkSession))
-    offsets = F.sequence(F.lit(0), F.length("_piece") - length)
-    cut = pieces.select(id_col, "strand", "_start", "_piece", F.explode(offsets).alias("_off"))
-    word = F.substring("_piece", F.col("_off") + 1, F.lit(length)).cast("string")
+    piece = F.col("_piece")
+    sides = {
+        "f": (enc.forward_digits(piece), F.col("_start")),
+        "r": (enc.complement_digits(piece), F.col("_size") - F.col("_start") - F.length(piece)),
+    }
+    wanted = {"forward": "f", "revcomp": "r", "both": "fr"}[strand]
+    side = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("strand"),
+                sides[s][0].cast("binary").alias("_digits"),
+                sides[s][1].alias("_base"),
+            )
+            for s in wanted
+        ]
+    )
+    lines = pieces.select(id_col, F.explode(side).alias("_s")).select(id_col, "_s.*")
+    offsets = F.sequence(F.lit(0), F.length("_digits") - length)
+    cut = lines.select(id_col, "strand", "_base", "_digits", F.explode(offsets).alias("_off"))
+    word = F.substring("_digits", F.col("_off") + 1, F.lit(length)).cast("string")
     return cut.select(
         F.col(id_col),
         "strand",
-        (F.col("_start") + F.col("_off")).cast("long").alias("pos"),
+        (F.col("_base") + F.col("_off")).cast("long").alias("pos"),
         enc.pack_digits(word).alias("lmer"),
     )
 
