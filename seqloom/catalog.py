@@ -250,7 +250,7 @@ def successor_blocks(spark, sf):
 @query
 def contig_start(spark, sf):
     """Edges of the 17-mer graph of the documents that no edge points to."""
-    return g.contig_starts(Assembly(documents(spark, sf)).links)
+    return g.unpaired_starts(Assembly(documents(spark, sf)).graph)
 
 
 @query

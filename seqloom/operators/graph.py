@@ -212,6 +212,16 @@ def successor_links(graph: Graph) -> DataFrame:
     )
 
 
+def unpaired_starts(graph: Graph) -> DataFrame:
+    """Edges without a predecessor, straight from the ranges: only such copies are unrolled."""
+    entering = F.col("pc0") + F.col("pc1") + F.col("pc2") + F.col("pc3")
+    first = F.greatest(entering - F.col("q0"), F.lit(0))
+    rest = graph.arcs.where(first < F.col("cnt")).select(
+        (F.col("eid0") + first).alias("eid0"), (F.col("cnt") - first).alias("cnt")
+    )
+    return unroll(rest, edge_id().alias("eid"))
+
+
 def contig_starts(links: DataFrame) -> DataFrame:
     """Edges that no edge points to."""
     return links.where(F.col("prv").isNull()).select(F.col("id").alias("eid"))

@@ -51,23 +51,27 @@ def _sortable(col: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
     return col, dtype
 
 
-def order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | None = None) -> Column:
+def order_bucket(
+    df: DataFrame, order_by: Sequence[str], buckets: int | None = None
+) -> tuple[Column, int]:
     """Expression for a bucket number that is monotone in `order_by` (ascending, nulls first).
 
+    Also returns how many buckets there are.
+
     The boundaries are a bounded number of sampled keys; the whole composite key is compared, so a
     leading value shared by many rows is split by the columns after it.
     """
     spark = df.sparkSession
-    want = min(buckets or shuffle_width(spark), MAX_BUCKETS)
+    want = min(buckets or 2 * shuffle_width(spark), MAX_BUCKETS)
     if want <= 1:
-        return F.lit(0)
+        return F.lit(0), 1
     types = {f.name: f.dataType for f in df.schema.fields}
     keys, key_types = zip(*[_sortable(F.col(c), types[c]) for c in order_by])
     sample_cols = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     need = want * _SAMPLES_PER_BUCKET
     total = df.count()
     if total == 0:
-        return F.lit(0)
+        return F.lit(0), 1
     picked = sample_cols.sample(fraction=min(1.0, 1.2 * need / total), seed=7).limit(4 * need)
     rows = [tuple(r) for r in picked.collect()]
     rows.sort(key=lambda r: tuple((v is not None, v) for v in r))
@@ -77,7 +81,7 @@ def order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | None = N
         if at < len(rows) and (not cuts or cuts[-1] != rows[at]):
             cuts.append(rows[at])
     if not cuts:
-        return F.lit(0)
+        return F.lit(0), 1
     if len(keys) == 1 and all(c[0] is not None for c in cuts):
         # `get` past the end is NULL and fails the comparison, which is the wanted answer.
         cut_text = ", ".join(_literal(c[0], key_types[0]) for c in cuts)
@@ -92,11 +96,12 @@ def order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | None = N
         probe = F.struct(*[k.cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(keys, key_types))])
     bounds = F.expr(f"array({cut_text})")
     steps = F.array(*[F.lit(1 << p) for p in range(len(cuts).bit_length() - 1, -1, -1)])
-    return F.aggregate(
+    number = F.aggregate(
         steps,
         F.lit(0),
         lambda at, step: F.when(F.get(bounds, at + step - 1) <= probe, at + step).otherwise(at),
     )
+    return number, len(cuts) + 1
 
 
 def _running(op: str, value: Column, window) -> Column:
@@ -126,7 +131,8 @@ def scan_columns(
     if op not in OPS:
         raise ValueError(f"op must be one of {OPS}")
     parts = list(partition_by)
-    based = df.withColumn("_b", order_bucket(df, order_by, buckets))
+    number, found = order_bucket(df, order_by, buckets)
+    based = df.withColumn("_b", number)
     keys = [*parts, "_b"]
     fn = {"add": F.sum, "multiply": F.product, "min": F.min, "max": F.max}[op]
     numbered = [(f"_c{i}", out, col) for i, (out, col) in enumerate(values.items())]
@@ -149,7 +155,8 @@ def scan_columns(
             same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         joined = based.join(right, same, "left")
     else:
-        joined = based.join(F.broadcast(carry), "_b", "left")
+        # One shuffle partition per bucket; hashing bucket numbers would pile some of them up.
+        joined = based.join(F.broadcast(carry), "_b", "left").repartitionById(found, "_b")
     order = [F.col(c).desc() if backward else F.col(c).asc() for c in order_by]
     inside = (
         Window.partitionBy(*keys)
