@@ -14,12 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import encoding as enc
-from seqloom.operators.scan import scan_columns
+from seqloom.operators.scan import repeat_rows, scan_columns
 from seqloom.operators.words import split_words
-from seqloom.storage import Scratch, shuffle_width
-
-# Copies of one word unrolled per row; a larger multiplicity is first cut into several rows.
-COPIES_PER_ROW = 1 << 14
+from seqloom.storage import Scratch
 
 
 @dataclass
@@ -137,13 +134,7 @@ def build_graph(counts: DataFrame, length: int, scratch: Scratch, arcs: bool = T
 
 def unroll(arcs: DataFrame, *columns: str | Column) -> DataFrame:
     """Rows for every copy (column `copy`) of every word, spread evenly before they multiply."""
-    width = shuffle_width(arcs.sparkSession)
-    cut = arcs.withColumn(
-        "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cnt") - 1, F.lit(COPIES_PER_ROW)))
-    ).repartition(width, "eid0", "_from")
-    last = F.least(F.col("_from") + COPIES_PER_ROW, F.col("cnt")) - 1
-    rows = cut.withColumn("copy", F.explode(F.sequence(F.col("_from"), last)))
-    return rows.select(*columns)
+    return repeat_rows(arcs, "cnt", ["eid0"]).select(*columns)
 
 
 def edge_id() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import hashing as h
-from seqloom.operators.scan import dense_index, scan_columns
+from seqloom.operators.scan import dense_index, repeat_rows, scan_columns
 from seqloom.storage import lookup, materialize
 
 
@@ -72,10 +72,15 @@ def multi_value_keys(df: DataFrame, key: str) -> DataFrame:
 def multi_value_values(df: DataFrame, key: str, value: str) -> DataFrame:
     """(idx, key, value) with the values of one key next to each other.
 
-    A key with very many values is spread over tasks by its values; nothing is gathered per key.
+    Equal pairs are counted first and made again at the end. A key with very many values is spread
+    over tasks by its values; nothing is gathered per key.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(value).alias("value"))
-    return dense_index(rows, ["key", "value"])
+    pairs = df.groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    placed = scan_columns(materialize(pairs, "pairs"), {"idx": "n"}, ["key", "value"])
+    rows = repeat_rows(placed, "n", ["idx"])
+    return rows.select((F.col("idx") + F.col("copy")).alias("idx"), "key", "value")
 
 
 def compacting_index(df: DataFrame, key: str) -> DataFrame:

@@ -246,3 +246,23 @@ def following(
         *partition_by, (F.col("_at") - 1).alias("_at"), F.col(node).alias("following")
     )
     return placed.join(ahead, [*partition_by, "_at"], "left").select(node, "following")
+
+
+# Copies made per row before the rows are dealt out again; see repeat_rows.
+COPIES_PER_ROW = 1 << 14
+
+
+def repeat_rows(
+    df: DataFrame, count: str, by: Sequence[str], out: str = "copy", partitions: int | None = None
+) -> DataFrame:
+    """Each row `count` times, with column `out` from 0 to count - 1.
+
+    A large count is first cut into several rows, and rows are spread by `by` (a key of `df`) before
+    they multiply, so one row that stands for a third of the result is made by many tasks.
+    """
+    width = partitions or shuffle_width(df.sparkSession)
+    starts = F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(COPIES_PER_ROW).cast("long"))
+    cut = df.where(F.col(count) > 0).withColumn("_from", F.explode(starts))
+    cut = cut.repartition(width, *by, "_from")
+    last = F.least(F.col("_from") + COPIES_PER_ROW, F.col(count)) - 1
+    return cut.withColumn(out, F.explode(F.sequence(F.col("_from"), last))).drop("_from")

@@ -107,6 +107,10 @@ class Assembly:
     def contig_lengths(self) -> DataFrame:
         return ct.contig_lengths(self.merged_chains, self.length)
 
+    def close(self) -> None:
+        """Remove the stage tables; DataFrames made by this assembly cannot be read afterwards."""
+        self.scratch.drop_all(kept=True)
+
     def summary(self) -> dict[str, float]:
         """Counts for the metrics registry."""
         return {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import encoding as enc
 from seqloom.operators import graph as g
+from seqloom.storage import lookup
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -68,7 +69,7 @@ def debruijn_long(graph: g.Graph) -> DataFrame:
     )
     lists = []
     for section, name, fn, base in ((2, "e", g.entering_list, "ep"), (3, "l", g.leaving_list, "lp")):
-        rows = fn(graph).join(v.select("vidx", base), "vidx")
+        rows = lookup(fn(graph), v.select("vidx", base), "vidx", "vidx", "inner")
         at = F.col(base) + F.col("pos")
         lists.append(_line(rows, section, at, F.format_string(f"{name}[%d]: %d", at, "eid")))
     edges = _line(

@@ -43,6 +43,7 @@ class Scratch:
         app = spark.sparkContext.applicationId
         self.base = f"{checkpoint_root(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex[:12]}"
         self._intermediate: list[str] = []
+        self._kept: list[str] = []
         self._next = 0
 
     def write(self, df: DataFrame, keep: bool = False) -> DataFrame:
@@ -50,8 +51,7 @@ class Scratch:
         path = f"{self.base}/{self._next:03d}"
         self._next += 1
         df.write.mode("overwrite").parquet(path)
-        if not keep:
-            self._intermediate.append(path)
+        (self._kept if keep else self._intermediate).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
@@ -60,9 +60,12 @@ class Scratch:
         stored = self.write(df.observe(seen, F.count_if(condition).alias("n")))
         return stored, seen.get.get("n", 0)
 
-    def drop_all(self) -> None:
+    def drop_all(self, kept: bool = False) -> None:
+        """Delete the intermediate tables, and the kept ones too if asked."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        if kept:
+            self._intermediate, self._kept = self._intermediate + self._kept, []
         for path in self._intermediate:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
