@@ -187,18 +187,12 @@ def vertex_base_counts(spark, sf):
 @query
 def vertex_degrees(spark, sf):
     """Vertices with degrees and list offsets."""
-    made = g.build_graph(
-        wd.word_counts(documents(spark, sf), SHORT), SHORT, scratch(spark, "graph"), arcs=False
-    )
-    return g.euler_vertices(made)
+    return g.euler_vertices(Assembly(documents(spark, sf), SHORT).graph)
 
 
 @query
 def vertex_class(spark, sf):
-    made = g.build_graph(
-        wd.word_counts(documents(spark, sf), SHORT), SHORT, scratch(spark, "graph"), arcs=False
-    )
-    return g.vertex_class(made.vertices)
+    return g.vertex_class(Assembly(documents(spark, sf), SHORT).graph.vertices)
 
 
 @query
@@ -279,8 +273,7 @@ def circuit_edges(spark, sf):
 
 @query
 def circuit_edge_counts(spark, sf):
-    asm = Assembly(turns(spark, sf))
-    return cg.circuit_edge_counts(cg.touching_pairs(asm.graph, asm.chains))
+    return cg.circuit_edge_counts(Assembly(turns(spark, sf)).touching)
 
 
 @query

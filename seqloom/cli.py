@@ -36,10 +36,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Metrics:
     begun = time.time()
     asm = Assembly(reads_from_fastq(spark, args.input), args.k + 1)
     for key, step in (
-        ("TM_DEBRUIJN_CONSTRUCTION", lambda: asm.graph),
+        ("TM_DEBRUIJN_CONSTRUCTION", lambda: asm.graph.arcs),
         ("TM_COMPONENT", lambda: asm.chains),
-        ("TM_EULER_TOUR_P2", lambda: asm.circuit_edges),
-        ("TM_SPANNING_TREE", lambda: asm.forest),
+        ("TM_EULER_TOUR_P2", lambda: asm.touching),
+        ("TM_SPANNING_TREE", lambda: asm.forest_edges),
         ("TM_SWIPE_EXECUTION", lambda: asm.changed),
         ("TM_CONTIG_GENERATION", lambda: dumps.write_fasta(asm.contigs(), args.output)),
     ):

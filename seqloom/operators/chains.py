@@ -83,7 +83,7 @@ def _contract(state: DataFrame, carry: bool) -> DataFrame:
 
 def _rounds_at_once(open_nodes: int) -> int:
     """Large states are stored after each round; small ones cost less to carry than to store."""
-    return 1 if open_nodes > 1_000_000 else 4 if open_nodes > 50_000 else 8
+    return 1 if open_nodes > 200_000 else 4 if open_nodes > 30_000 else 8
 
 
 def _handed(id: str, rank: str) -> str:

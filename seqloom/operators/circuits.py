@@ -30,9 +30,18 @@ def touching_pairs(graph: g.Graph, chains: DataFrame) -> DataFrame:
     )
 
 
-def circuit_edges(graph: g.Graph, chains: DataFrame, scratch) -> DataFrame:
+def first_touch(pairs: DataFrame) -> DataFrame:
+    """(c1, c2, pick): the first edge of each pair of circuits, pick = (c1, c2, e1, e2).
+
+    Ordered by `pick`, these are the only edges a lightest spanning forest can use, and they order
+    like their `ceid`; the forest can be found without numbering all parallel edges.
+    """
+    first = pairs.groupBy("c1", "c2").agg(F.min(F.struct("e1", "e2")).alias("_e"))
+    return first.select("c1", "c2", F.struct("c1", "c2", "_e.e1", "_e.e2").alias("pick"))
+
+
+def circuit_edges(pairs: DataFrame) -> DataFrame:
     """(ceid, c1, c2, e1, e2): parallel edges are kept; ceid is the rank by (c1, c2, e1, e2)."""
-    pairs = scratch.write(touching_pairs(graph, chains))
     return dense_index(pairs, ["c1", "c2", "e1", "e2"], out="ceid").select(
         "ceid", "c1", "c2", "e1", "e2"
     )

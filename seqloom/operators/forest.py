@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from seqloom.storage import Scratch, lookup
 
 
-def spanning_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(ceid) of the forest that minimises the sum of `ceid` over edges (ceid, c1, c2).
+def spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "ceid") -> DataFrame:
+    """Weights of the edges (c1, c2, weight) that form the lightest spanning forest.
 
-    Weights are distinct, so the forest is unique.
+    Weights are distinct and of any type with an order, so the forest is unique.
     """
     live = scratch.write(
-        _lightest(edges.select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col("ceid").alias("w")))
+        _lightest(edges.select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col(weight).alias("w")))
     )
     picked = []
     while not live.isEmpty():
@@ -49,8 +49,8 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> DataFrame:
             )
         live = scratch.write(_lightest(renamed.where(F.col("a") != F.col("b"))))
     if not picked:
-        return edges.select("ceid").limit(0)
-    return reduce(DataFrame.unionByName, picked).select(F.col("w").alias("ceid")).distinct()
+        return edges.select(weight).limit(0)
+    return reduce(DataFrame.unionByName, picked).select(F.col("w").alias(weight)).distinct()
 
 
 def _lightest(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ on ranges; copies are unrolled last. A word that makes up a third of all windows
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,31 @@ from seqloom.storage import Scratch
 
 @dataclass
 class Graph:
-    """Stage tables of one graph. `length` is the word (edge) length; vertices are one shorter."""
+    """Stage tables of one graph. `length` is the word (edge) length; vertices are one shorter.
+
+    Vertices are numbered on first use only; pairing and everything after it go without numbers.
+    """
 
     length: int
     words: DataFrame  # lmer, cnt, eid0
-    vertices: DataFrame  # vidx, kmer, counts per base, first ids per base, ep, ecount, lp, lcount
-    arcs: DataFrame  # one row per distinct word with its ranges; see build_arcs
+    slots: DataFrame  # one row per vertex, see vertex_slots
+    scratch: Scratch
+
+    @cached_property
+    def vertices(self) -> DataFrame:
+        """vidx, kmer, ecount, lcount, ep, lp and the columns of the slots."""
+        return self.scratch.write(index_vertices(self.slots, self.length), keep=True)
+
+    @cached_property
+    def arcs(self) -> DataFrame:
+        """One row per distinct word with its ranges, see build_arcs."""
+        return self.scratch.write(build_arcs(self.words, self.slots, self.length), keep=True)
+
+    def numbered_arcs(self) -> DataFrame:
+        """Arcs with the vertex numbers v1 and v2."""
+        number = self.vertices.select("kmer", "vidx")
+        k1, k2 = number.toDF("prefix", "v1"), number.toDF("suffix", "v2")
+        return self.arcs.join(k1, "prefix").join(k2, "suffix")
 
 
 def index_words(counts: DataFrame, length: int) -> DataFrame:
@@ -39,13 +59,17 @@ def index_words(counts: DataFrame, length: int) -> DataFrame:
 
 def vertex_base_counts(counts: DataFrame, length: int) -> DataFrame:
     """(kmer, lc0..lc3, ec0..ec3): leaving and entering multiplicity per base."""
-    return _vertex_slots(counts.withColumn("eid0", F.lit(None).cast("long")), length).select(
+    return vertex_slots(counts.withColumn("eid0", F.lit(None).cast("long")), length).select(
         "kmer", *[f"lc{b}" for b in range(4)], *[f"ec{b}" for b in range(4)]
     )
 
 
-def _vertex_slots(words: DataFrame, length: int) -> DataFrame:
-    """One group-by over both ends of each word; at most eight words meet at a vertex."""
+def vertex_slots(words: DataFrame, length: int) -> DataFrame:
+    """(kmer, lc0..lc3, ec0..ec3, ee0..ee3, lstart): what meets at each vertex.
+
+    lc and ec are leaving and entering multiplicities per base, ee the first edge of each entering
+    range and lstart the first leaving edge. At most eight words meet at a vertex.
+    """
     split = split_words(words, length)
     ends = F.array(
         F.struct(F.col("prefix").alias("kmer"), F.col("last_base").alias("slot")),
@@ -61,16 +85,19 @@ def _vertex_slots(words: DataFrame, length: int) -> DataFrame:
         *[count[b].alias(f"lc{b}") for b in range(4)],
         *[count[b + 4].alias(f"ec{b}") for b in range(4)],
         *[first[b].alias(f"ee{b}") for b in range(4)],
+        F.min(F.when(slot < 4, F.col("eid0"))).alias("lstart"),
     )
 
 
-def index_vertices(words: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def _total(side: str) -> Column:
+    return sum((F.col(f"{side}{b}") for b in range(1, 4)), F.col(f"{side}0"))
+
+
+def index_vertices(slots: DataFrame, length: int) -> DataFrame:
     """Vertex table: dense index in unsigned k-mer order, degrees and list offsets."""
-    slots = _vertex_slots(words, length)
-    total = lambda side: sum((F.col(f"{side}{b}") for b in range(1, 4)), F.col(f"{side}0"))
-    wide = scratch.write(
-        slots.withColumn("ecount", total("ec"))
-        .withColumn("lcount", total("lc"))
+    wide = (
+        slots.withColumn("ecount", _total("ec"))
+        .withColumn("lcount", _total("lc"))
         .withColumn("_one", F.lit(1).cast("long"))
         .withColumn("_key", enc.unsigned_order(F.col("kmer"), length - 1))
     )
@@ -78,27 +105,26 @@ def index_vertices(words: DataFrame, length: int, scratch: Scratch) -> DataFrame
     return numbered.drop("_one", "_key")
 
 
-def build_arcs(words: DataFrame, vertices: DataFrame, length: int) -> DataFrame:
+def build_arcs(words: DataFrame, slots: DataFrame, length: int) -> DataFrame:
     """One row per distinct word, describing all of its copies by ranges.
 
-    Copy i of a word has edge id eid0 + i. As the edge enters v2 at list position p0 + i, its
-    successor is lp(v2) + p0 + i while i < slen. `q0` is its first position in the leaving list of
-    v1, and pc0..pc3 / pe0..pe3 are the sizes and first ids of the ranges entering v1, from which
-    the predecessor follows. `nx_last` is the edge after the last copy in the entering list of v2.
+    Copy i of a word has edge id eid0 + i. As the edge enters its head vertex at list position
+    p0 + i, its successor is lstart2 + p0 + i while i < slen. `q0` is its first position in the
+    leaving list of its tail vertex, and pc0..pc3 / pe0..pe3 are the sizes and first ids of the
+    ranges entering there, from which the predecessor follows. `nx_last` is the edge after the last
+    copy in the entering list of the head vertex.
     """
     split = split_words(words, length)
-    head = vertices.select(
+    head = slots.select(
         F.col("kmer").alias("_k2"),
-        F.col("vidx").alias("v2"),
-        F.col("lp").alias("lp2"),
-        F.col("lcount").alias("lcount2"),
+        F.col("lstart").alias("lstart2"),
+        _total("lc").alias("lcount2"),
         *[F.col(f"ec{b}").alias(f"_c{b}") for b in range(4)],
         *[F.col(f"ee{b}").alias(f"_n{b}") for b in range(4)],
     )
-    tail = vertices.select(
+    tail = slots.select(
         F.col("kmer").alias("_k1"),
-        F.col("vidx").alias("v1"),
-        F.col("lp").alias("lp1"),
+        F.col("lstart").alias("lstart1"),
         *[F.col(f"ec{b}").alias(f"pc{b}") for b in range(4)],
         *[F.col(f"ee{b}").alias(f"pe{b}") for b in range(4)],
     )
@@ -113,23 +139,22 @@ def build_arcs(words: DataFrame, vertices: DataFrame, length: int) -> DataFrame:
         following = F.when(base == b, after).otherwise(following)
     joined = split.join(head, split.suffix == head._k2).join(tail, split.prefix == tail._k1)
     return joined.select(
-        "lmer", "cnt", "eid0", "v1", "v2",
+        "lmer", "cnt", "eid0", "prefix", "suffix",
         offset.alias("p0"),
-        F.col("lp2"),
+        "lstart2",
         F.greatest(F.least(F.col("lcount2") - offset, F.col("cnt")), F.lit(0)).alias("slen"),
         following.alias("nx_last"),
-        (F.col("eid0") - F.col("lp1")).alias("q0"),
+        (F.col("eid0") - F.col("lstart1")).alias("q0"),
         *[f"pc{b}" for b in range(4)],
         *[f"pe{b}" for b in range(4)],
     )
 
 
-def build_graph(counts: DataFrame, length: int, scratch: Scratch, arcs: bool = True) -> Graph:
+def build_graph(counts: DataFrame, length: int, scratch: Scratch) -> Graph:
     stored = scratch.write(counts.select("lmer", "cnt"))
-    words = scratch.write(index_words(stored, length))
-    vertices = scratch.write(index_vertices(words, length, scratch), keep=not arcs)
-    made = scratch.write(build_arcs(words, vertices, length), keep=True) if arcs else None
-    return Graph(length, words, vertices, made)
+    words = scratch.write(index_words(stored, length), keep=True)
+    slots = scratch.write(vertex_slots(words, length), keep=True)
+    return Graph(length, words, slots, scratch)
 
 
 def unroll(arcs: DataFrame, *columns: str | Column) -> DataFrame:
@@ -143,7 +168,7 @@ def edge_id() -> Column:
 
 def successor() -> Column:
     """The edge at the same position of the leaving list of the head vertex, or NULL."""
-    return F.when(F.col("copy") < F.col("slen"), F.col("lp2") + F.col("p0") + F.col("copy"))
+    return F.when(F.col("copy") < F.col("slen"), F.col("lstart2") + F.col("p0") + F.col("copy"))
 
 
 def predecessor() -> Column:
@@ -166,7 +191,14 @@ def next_entering() -> Column:
 def edges(graph: Graph) -> DataFrame:
     """(eid, v1, v2, s, lmer, copy): every edge with its vertices and its paired successor."""
     return unroll(
-        graph.arcs, edge_id().alias("eid"), "v1", "v2", successor().alias("s"), "lmer", "copy"
+        graph.numbered_arcs(), edge_id().alias("eid"), "v1", "v2", successor().alias("s"), "lmer", "copy"
+    )
+
+
+def paired_edges(graph: Graph) -> DataFrame:
+    """(eid, v2, s) without vertex numbers: v2 is the packed k-mer of the head vertex."""
+    return unroll(
+        graph.arcs, edge_id().alias("eid"), F.col("suffix").alias("v2"), successor().alias("s")
     )
 
 
@@ -177,14 +209,14 @@ def euler_vertices(graph: Graph) -> DataFrame:
 def leaving_list(graph: Graph) -> DataFrame:
     """(vidx, pos, eid): position inside the vertex; ids ascend with the position."""
     return unroll(
-        graph.arcs, F.col("v1").alias("vidx"), (F.col("q0") + F.col("copy")).alias("pos"),
+        graph.numbered_arcs(), F.col("v1").alias("vidx"), (F.col("q0") + F.col("copy")).alias("pos"),
         edge_id().alias("eid"),
     )
 
 
 def entering_list(graph: Graph) -> DataFrame:
     return unroll(
-        graph.arcs, F.col("v2").alias("vidx"), (F.col("p0") + F.col("copy")).alias("pos"),
+        graph.numbered_arcs(), F.col("v2").alias("vidx"), (F.col("p0") + F.col("copy")).alias("pos"),
         edge_id().alias("eid"),
     )
 

@@ -15,17 +15,16 @@ from seqloom.operators.scan import dense_index
 from seqloom.storage import Scratch, lookup
 
 
-def swipe_marks(forest: DataFrame, circuit_edges: DataFrame) -> DataFrame:
-    """(eid, nx): the earlier edge of each touching pair the forest uses, and its list neighbour."""
-    used = forest.select("ceid").join(circuit_edges, "ceid")
-    return used.select(F.least("e1", "e2").alias("eid"), F.greatest("e1", "e2").alias("nx")).distinct()
+def swipe_marks(touching: DataFrame) -> DataFrame:
+    """(eid, nx) for the touching pairs (e1, e2) the forest uses: the earlier edge and its neighbour."""
+    return touching.select(F.least("e1", "e2").alias("eid"), F.greatest("e1", "e2").alias("nx")).distinct()
 
 
 def changed_successors(edges: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
     """(eid, s) of the edges whose successor changes.
 
-    `edges` has (eid, v2, s); `marks` has (eid, nx) as from `swipe_marks`, where nx follows eid in the
-    entering list of v2 and ids ascend along that list.
+    `edges` has (eid, v2, s), where v2 is any number of the head vertex; `marks` has (eid, nx) as from
+    `swipe_marks`, where nx follows eid in the entering list of v2 and ids ascend along that list.
     """
     marks = scratch.write(marks.select("eid", "nx"))
     touched = scratch.write(

@@ -62,21 +62,34 @@ class Assembly:
         steps.drop_all()
         return done
 
+    @cached_property
+    def touching(self) -> DataFrame:
+        """(c1, c2, e1, e2) of all circuit edges, not numbered."""
+        return self.scratch.write(cg.touching_pairs(self.graph, self.chains), keep=True)
+
     @cached_property
     def circuit_edges(self) -> DataFrame:
-        return self.scratch.write(cg.circuit_edges(self.graph, self.chains, self.scratch), keep=True)
+        return self.scratch.write(cg.circuit_edges(self.touching), keep=True)
 
     @cached_property
-    def forest(self) -> DataFrame:
+    def forest_edges(self) -> DataFrame:
+        """(c1, c2, e1, e2) of the circuit edges in the lightest spanning forest."""
         steps = Scratch(self.reads.sparkSession, "forest")
-        done = steps.write(spanning_forest(self.circuit_edges, steps), keep=True)
+        picked = spanning_forest(cg.first_touch(self.touching), steps, "pick").select("pick.*")
+        done = steps.write(picked, keep=True)
         steps.drop_all()
         return done
 
+    @property
+    def forest(self) -> DataFrame:
+        """The forest as numbers of circuit edges."""
+        places = ["c1", "c2", "e1", "e2"]
+        return self.circuit_edges.join(self.forest_edges, places).select("ceid")
+
     @cached_property
     def changed(self) -> DataFrame:
-        marks = sw.swipe_marks(self.forest, self.circuit_edges)
-        return sw.changed_successors(self.edges(), marks, self.scratch)
+        marks = sw.swipe_marks(self.forest_edges)
+        return sw.changed_successors(g.paired_edges(self.graph), marks, self.scratch)
 
     @cached_property
     def merged_chains(self) -> DataFrame:
@@ -121,5 +134,5 @@ class Assembly:
             "NM_DEBRUIJN_VTX": self.graph.vertices.count(),
             "NM_DEBRUIJN_EDG": self.graph.words.agg(F.sum("cnt")).first()[0] or 0,
             "NM_CIRCUIT_VTX": cg.circuit_vertices(self.chains).count(),
-            "NM_CIRCUIT_EDG": self.circuit_edges.count(),
+            "NM_CIRCUIT_EDG": self.touching.count(),
         }
