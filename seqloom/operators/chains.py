@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.scan import dense_index
-from seqloom.storage import Scratch
+from seqloom.operators.scan import dense_index, scan
+from seqloom.storage import BROADCAST_ROWS, Scratch, lookup
 
 NONE = -1
 
@@ -118,13 +118,15 @@ def trace_chains(
 
     `label` is the smallest id of the chain, `circuit` the dense rank of that label, `head` the first
     node of a path (for a cycle, the node its ranks count from), `rank` the distance from the head.
+    A column `dp` in `links` gives the distance from prv to id, else it is 1.
     The result reads tables of `scratch`; with `keep_result` it is written and outlives them.
     """
+    distance = "dp" if "dp" in links.columns else "1L"
     state = links.selectExpr(
         "id",
         f"coalesce(prv, {NONE}) AS prv",
         f"coalesce(nxt, {NONE}) AS nxt",
-        "CASE WHEN prv IS NULL THEN 0L ELSE 1L END AS dp",
+        f"CASE WHEN prv IS NULL THEN 0L ELSE {distance} END AS dp",
         "id AS low",
         "CAST(NULL AS BIGINT) AS gone",
         "0L AS r",
@@ -158,3 +160,64 @@ def trace_chains(
             known = scratch.write(known)
     known = known.select(*columns)
     return scratch.write(known, keep=True) if keep_result else known
+
+
+def retrace_chains(chains: DataFrame, changed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, head, rank, is_cycle) after some nodes got other successors.
+
+    `chains` is a result of `trace_chains`, `changed` has (eid, s) and permutes the successors of its
+    nodes. The old chains are cut after each changed node; only the segments between the cuts are
+    traced again, and every node takes its new place from its segment.
+    """
+    rows = changed.count()
+    cuts = changed.select("eid", F.lit(1).cast("long").alias("cut"))
+    cut_at = lookup(chains, cuts, "id", "eid", "left", salts=1, small_rows=rows)
+    cut_at = cut_at.select(
+        "id", "head", "rank", "is_cycle", F.coalesce("cut", F.lit(0).cast("long")).alias("cut")
+    )
+    if rows > BROADCAST_ROWS:
+        cut_at = scratch.write(cut_at)
+    # Segments are told apart by the number of cuts before them.
+    placed = scratch.write(
+        scan(cut_at, "cut", ["head", "rank"], out="cuts").select(
+            F.struct("head", "cuts").alias("segment"), "id", "rank", "is_cycle"
+        )
+    )
+    segments = scratch.write(
+        placed.groupBy("segment").agg(
+            F.min("rank").alias("low"),
+            F.max("rank").alias("high"),
+            F.min_by("id", "rank").alias("first"),
+            F.max_by("id", "rank").alias("last"),
+            F.max("is_cycle").alias("is_cycle"),
+        )
+    )
+    moved = changed.select(F.col("eid").alias("last"), "s", F.lit(True).alias("moved"))
+    onward = (
+        F.when(F.col("moved"), F.col("s"))
+        .when(F.col("is_cycle"), F.col("segment.head"))
+        .alias("nxt")
+    )
+    out = scratch.write(
+        segments.join(moved, "last", "left").select(
+            F.col("first").alias("id"), onward, (F.col("high") - F.col("low") + 1).alias("size")
+        )
+    )
+    back = out.where(F.col("nxt").isNotNull()).select(
+        F.col("nxt").alias("id"), F.col("id").alias("prv"), F.col("size").alias("dp")
+    )
+    links = out.select("id", "nxt").join(back, "id", "left")
+    traced = trace_chains(links, scratch, ("id", "head", "rank", "is_cycle")).select(
+        F.col("id").alias("first"), F.col("head").alias("new_head"), F.col("rank").alias("offset"),
+        F.col("is_cycle").alias("in_cycle"),
+    )
+    place = scratch.write(
+        segments.select(F.col("segment").alias("_segment"), "first", "low")
+        .join(traced, "first")
+        .select(
+            "_segment", F.col("new_head").alias("head"), (F.col("offset") - F.col("low")).alias("shift"),
+            F.col("in_cycle").alias("is_cycle"),
+        )
+    )
+    met = lookup(placed.select("segment", "id", "rank"), place, "segment", "_segment", "inner")
+    return met.select("id", "head", (F.col("rank") + F.col("shift")).alias("rank"), "is_cycle")

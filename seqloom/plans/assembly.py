@@ -17,7 +17,7 @@ from seqloom.operators import contigs as ct
 from seqloom.operators import graph as g
 from seqloom.operators import swipe as sw
 from seqloom.operators import words as wd
-from seqloom.operators.chains import trace_chains
+from seqloom.operators.chains import retrace_chains, trace_chains
 from seqloom.operators.forest import spanning_forest
 from seqloom.storage import Scratch
 
@@ -58,7 +58,7 @@ class Assembly:
     def chains(self) -> DataFrame:
         """Components of the successor graph before the swipe."""
         steps = Scratch(self.reads.sparkSession, "chains")
-        done = trace_chains(self.links, steps, ("id", "label", "circuit"), keep_result=True)
+        done = trace_chains(self.links, steps, keep_result=True)
         steps.drop_all()
         return done
 
@@ -95,9 +95,7 @@ class Assembly:
     def merged_chains(self) -> DataFrame:
         """Components after the swipe."""
         steps = Scratch(self.reads.sparkSession, "merged")
-        done = trace_chains(
-            self.merged_links(), steps, ("id", "head", "rank", "is_cycle"), keep_result=True
-        )
+        done = steps.write(retrace_chains(self.chains, self.changed, steps), keep=True)
         steps.drop_all()
         return done
 
