@@ -62,13 +62,14 @@ def _distinct(edges: DataFrame) -> DataFrame:
 def _follow(tree: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     while True:
         up = tree.select("node", F.col("root").alias("_up"))
-        jumped = scratch.write(
+        jumped, moved = scratch.write_counting(
             lookup(tree, up, "root", "node", "inner", small_rows=nodes).select(
                 "node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")
-            )
+            ),
+            F.col("moved"),
         )
         tree = jumped.select("node", "root")
-        if jumped.where("moved").isEmpty():
+        if not moved:
             return tree
 
 

@@ -21,23 +21,24 @@ def spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "ceid") ->
 
     Weights are distinct and of any type with an order, so the forest is unique.
     """
-    live = scratch.write(
-        _lightest(edges.select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col(weight).alias("w")))
+    live, rest = scratch.write_counting(
+        _lightest(edges.select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col(weight).alias("w"))),
+        F.lit(True),
     )
     picked = []
-    while not live.isEmpty():
+    while rest:
         ends = F.array(
             F.struct(F.col("a").alias("node"), F.struct("w", F.col("b").alias("to")).alias("best")),
             F.struct(F.col("b").alias("node"), F.struct("w", F.col("a").alias("to")).alias("best")),
         )
-        best = scratch.write(
+        best, nodes = scratch.write_counting(
             live.select(F.explode(ends).alias("e"))
             .groupBy("e.node")
             .agg(F.min("e.best").alias("best"))
-            .select("node", "best.w", "best.to")
+            .select("node", "best.w", "best.to"),
+            F.lit(True),
         )
         picked.append(best.select("w"))
-        nodes = best.count()
         renamed = live
         roots = _roots(best, nodes, scratch)
         for end in ("a", "b"):
@@ -47,7 +48,9 @@ def spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "ceid") ->
                 .drop(end)
                 .withColumnRenamed(f"_{end}", end)
             )
-        live = scratch.write(_lightest(renamed.where(F.col("a") != F.col("b"))))
+        live, rest = scratch.write_counting(
+            _lightest(renamed.where(F.col("a") != F.col("b"))), F.lit(True)
+        )
     if not picked:
         return edges.select(weight).limit(0)
     return reduce(DataFrame.unionByName, picked).select(F.col("w").alias(weight)).distinct()
@@ -74,11 +77,12 @@ def _roots(best: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     )
     while True:
         up = tree.select("node", F.col("root").alias("_up"))
-        jumped = scratch.write(
+        jumped, moved = scratch.write_counting(
             lookup(tree, up, "root", "node", "inner", small_rows=nodes).select(
                 "node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")
-            )
+            ),
+            F.col("moved"),
         )
         tree = jumped.select("node", "root")
-        if jumped.where("moved").isEmpty():
+        if not moved:
             return tree
