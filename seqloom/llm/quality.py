@@ -214,8 +214,11 @@ def typical(counts: DataFrame, accuracy: int = 1000) -> DataFrame:
     sound = counts.filter(F.col("lang").isNotNull() & ~F.col("base_failed"))
     shares = {f"_p{i}": c / F.col("n_chars") for i, c in enumerate(_classes())}
     sound = sound.withColumns(shares)
-    usual = sound.groupBy(F.col("lang").alias("_lang")).agg(
-        *[F.percentile_approx(p, 0.75, accuracy).alias(f"_q{p}") for p in shares]
+    usual = stored(
+        sound.groupBy(F.col("lang").alias("_lang")).agg(
+            *[F.percentile_approx(p, 0.75, accuracy).alias(f"_q{p}") for p in shares]
+        ),
+        "usual-shares",
     )
     rows = sound.join(usual, F.col("lang") == F.col("_lang"))
     for p in shares:
@@ -290,7 +293,10 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     an empty result. Columns of `docs` other than the three named ones are not looked at.
     """
     counts = stored(base_counts(docs, doc_id, text, lang), "quality")
-    return judged(counts, references(typical(counts)), max_class, max_word, min_chars, min_words).select(
+    # As written tables, the few rows of references show their size, and Spark can send them to all
+    # tasks instead of dealing the documents out by language.
+    refs = stored(references(typical(counts)), "references")
+    return judged(counts, refs, max_class, max_word, min_chars, min_words).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "class_distance", "word_distance", "kept",
     )
