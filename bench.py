@@ -13,7 +13,7 @@ from seqloom.session import get_spark
 HEADLINE = (
     "lmer_spectrum lmer_count kmer_index edges contig_start component_sizes contigs "
     "part_supplier_components scan_exclusive scan_multi scan_segmented sort_radix compact spmv "
-    "list_rank tridiagonal suffixes hash_index hash_probe hash_multivalue"
+    "list_rank tridiagonal suffixes hash_probe hash_multivalue"
 )
 
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from seqloom.operators.scan import dense_index, scan
 from seqloom.storage import BROADCAST_ROWS, Scratch, lookup
 
-NONE = -1
+# Stands for "no neighbour" inside the steps, as SQL text: the smallest LONG. Tables of links with
+# this id are refused, so no list can lose a node to it.
+NONE = "(-9223372036854775807L - 1L)"
 
 # Levels of the expansion that are planned together.
 LEVELS_PER_PLAN = 8
@@ -123,7 +125,7 @@ def trace_chains(
     """
     distance = "dp" if "dp" in links.columns else "1L"
     state = links.selectExpr(
-        "id",
+        f"if(id = {NONE}, raise_error('the smallest LONG cannot be the id of a node'), id) AS id",
         f"coalesce(prv, {NONE}) AS prv",
         f"coalesce(nxt, {NONE}) AS nxt",
         f"CASE WHEN prv IS NULL THEN 0L ELSE {distance} END AS dp",
@@ -171,7 +173,7 @@ def retrace_chains(chains: DataFrame, changed: DataFrame, scratch: Scratch) -> D
     """
     rows = changed.count()
     cuts = changed.select("eid", F.lit(1).cast("long").alias("cut"))
-    cut_at = lookup(chains, cuts, "id", "eid", "left", salts=1, small_rows=rows)
+    cut_at = lookup(chains, cuts, "id", "eid", "left")
     cut_at = cut_at.select(
         "id", "head", "rank", "is_cycle", F.coalesce("cut", F.lit(0).cast("long")).alias("cut")
     )

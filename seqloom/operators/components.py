@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         for end in ("a", "b"):
             to = tree.select("node", F.col("root").alias(f"_{end}"))
             renamed = (
-                lookup(renamed, to, end, "node", "inner", small_rows=nodes)
+                lookup(renamed, to, end, "node", "inner")
                 .drop(end)
                 .withColumnRenamed(f"_{end}", end)
             )
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     labels = maps[0][0].select(F.col("node").alias("id"), F.col("root").alias("label"))
     for tree, nodes in maps[1:]:
         up = tree.select("node", F.col("root").alias("_up"))
-        labels = lookup(labels, up, "label", "node", "left", small_rows=nodes).select(
+        labels = lookup(labels, up, "label", "node", "left").select(
             "id", F.coalesce("_up", "label").alias("label")
         )
     loners = alone.join(labels.select("id"), "id", "left_anti")
@@ -63,7 +63,7 @@ def _follow(tree: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     while True:
         up = tree.select("node", F.col("root").alias("_up"))
         jumped, moved = scratch.write_counting(
-            lookup(tree, up, "root", "node", "inner", small_rows=nodes).select(
+            lookup(tree, up, "root", "node", "inner").select(
                 "node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")
             ),
             F.col("moved"),

@@ -44,7 +44,7 @@ def spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "ceid") ->
         for end in ("a", "b"):
             named = roots.select("node", F.col("root").alias(f"_{end}"))
             renamed = (
-                lookup(renamed, named, end, "node", "inner", small_rows=nodes)
+                lookup(renamed, named, end, "node", "inner")
                 .drop(end)
                 .withColumnRenamed(f"_{end}", end)
             )
@@ -70,7 +70,7 @@ def _roots(best: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     The only cycles are pairs that picked the same edge; the smaller node of a pair is the root.
     """
     back = best.select("node", F.col("w").alias("_w"))
-    met = lookup(best, back, "to", "node", "inner", small_rows=nodes)
+    met = lookup(best, back, "to", "node", "inner")
     is_root = (F.col("w") == F.col("_w")) & (F.col("node") < F.col("to"))
     tree = scratch.write(
         met.select("node", F.when(is_root, F.col("node")).otherwise(F.col("to")).alias("root"))
@@ -78,7 +78,7 @@ def _roots(best: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     while True:
         up = tree.select("node", F.col("root").alias("_up"))
         jumped, moved = scratch.write_counting(
-            lookup(tree, up, "root", "node", "inner", small_rows=nodes).select(
+            lookup(tree, up, "root", "node", "inner").select(
                 "node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")
             ),
             F.col("moved"),

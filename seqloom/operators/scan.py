@@ -33,6 +33,8 @@ def _literal(value, dtype: T.DataType) -> str:
         return f"CAST(NULL AS {dtype.simpleString()})"
     if isinstance(dtype, T.StringType):
         return f"decode(unhex('{value.encode().hex()}'), 'UTF-8')"
+    if isinstance(dtype, T.BinaryType):
+        return f"X'{bytes(value).hex()}'"
     if isinstance(dtype, T.TimestampNTZType):
         return f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):

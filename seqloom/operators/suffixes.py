@@ -52,5 +52,5 @@ def _rank(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame
     classes = numbered.count()
     packed = rows.select("id", "pos", F.struct(*keys).alias("_key"))
     side = numbered.select(F.struct(*keys).alias("_side"), "rank")
-    met = lookup(packed, side, "_key", "_side", "inner", small_rows=classes)
+    met = lookup(packed, side, "_key", "_side", "inner")
     return scratch.write(met.select("id", "pos", "rank")), classes

@@ -31,7 +31,7 @@ def changed_successors(edges: DataFrame, marks: DataFrame, scratch: Scratch) ->
         marks.select(F.explode(F.array("eid", "nx")).alias("eid")).distinct()
     )
     known = scratch.write(
-        lookup(edges.select("eid", "v2", "s"), touched, "eid", "eid", "inner", salts=1)
+        lookup(edges.select("eid", "v2", "s"), touched, "eid", "eid", "inner")
     )
     successor_of = known.select(F.col("eid").alias("_of"), "s")
     inside = marks.join(successor_of, F.col("nx") == F.col("_of")).select("eid", "s")
@@ -54,7 +54,7 @@ def changed_successors(edges: DataFrame, marks: DataFrame, scratch: Scratch) ->
 def apply_swipe(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """`edges` with the new successors in column s."""
     new = changed.select("eid", F.col("s").alias("_s"), F.lit(True).alias("_hit"))
-    met = lookup(edges, new, "eid", "eid", "left", salts=1)
+    met = lookup(edges, new, "eid", "eid", "left")
     taken = F.when(F.col("_hit"), F.col("_s")).otherwise(F.col("s"))
     return met.withColumn("s", taken).select(*edges.columns)
 
@@ -69,8 +69,8 @@ def relink(links: DataFrame, changed: DataFrame) -> DataFrame:
     The swipe permutes successors, so the new predecessors of all changed targets are known too.
     """
     out = changed.select("eid", F.col("s").alias("_s"), F.lit(True).alias("_hit"))
-    met = lookup(links, out, "id", "eid", "left", salts=1)
+    met = lookup(links, out, "id", "eid", "left")
     met = met.withColumn("nxt", F.when(F.col("_hit"), F.col("_s")).otherwise(F.col("nxt")))
     back = changed.where(F.col("s").isNotNull()).select(F.col("s").alias("_t"), F.col("eid").alias("_p"))
-    met = lookup(met.select("id", "prv", "nxt"), back, "id", "_t", "left", salts=1)
+    met = lookup(met.select("id", "prv", "nxt"), back, "id", "_t", "left")
     return met.select("id", F.coalesce("_p", "prv").alias("prv"), "nxt")

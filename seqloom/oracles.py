@@ -407,14 +407,6 @@ def oracles() -> dict[str, str]:
     )
 
     bucket = _bucket("o_orderkey", N_ORDERS)
-    sql["hash_index"] = (
-        f"WITH x AS (SELECT {bucket} AS bucket, o_orderkey AS key, o_custkey AS value FROM orders) "
-        "SELECT bucket, row_number() OVER (PARTITION BY bucket ORDER BY key) - 1 AS slot, key, value FROM x"
-    )
-    sql["hash_histogram"] = (
-        f"WITH x AS (SELECT {bucket} AS bucket, count(*) AS size FROM orders GROUP BY 1) "
-        "SELECT bucket, size, CAST(sum(size) OVER (ORDER BY bucket) - size AS BIGINT) AS \"offset\" FROM x"
-    )
     seed = 4000000007
     sql["hash_slots"] = (
         f"SELECT o_orderkey AS key, {bucket} AS bucket, "

@@ -2,7 +2,9 @@
 
 A line is a sequence if its number in the file leaves 1 modulo 4. Large files are read in splits, so
 the number of a line is its place inside its split plus the lines of the splits before it in the same
-file; only one count per split is summed, and no split has to be read in order.
+file; only one count per split is summed, and no split has to be read in order. Splits depend on the
+cores that are there when a scan is planned, so the files are scanned once: lines are stored with
+their split and place, and both the counts and the lines come from that table.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
         "value",
     )
+    lines = materialize(lines, "lines")
     blocks = lines.groupBy("file", "start").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n")
     )
@@ -34,7 +37,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"),
     )
     keyed = lines.select(F.struct("file", "start").alias("_block"), "file", "at", "value")
-    # One row per split; written once, as it is counted before it is joined.
+    # One row per split.
     met = lookup(keyed, materialize(blocks, "splits"), "_block", "block", "inner")
     return met.select(
         "file", (F.col("skip") + F.col("at") - F.col("first")).alias("line"), "value"

@@ -14,24 +14,43 @@ _HEADER = r"^(P[56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, channels, data): data is the row-major sample buffer."""
+    """(path, width, height, channels, data, reason): data is the row-major sample buffer.
+
+    The header may be of any length. A file that cannot be read has its reason (`header`, `maximum`
+    or `size`) and nulls instead; no file is left out. One byte per sample is supported, so the
+    maximum must be 1 to 255. Bytes after the last sample are not data.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
-    field = lambda i: F.regexp_extract(head, _HEADER, i)
-    size = F.length(field(0))
-    return files.where(field(1) != "").select(
+    text = F.decode("content", "ISO-8859-1")
+    head = F.regexp_extract(text, _HEADER, 0)
+    field = lambda i: F.regexp_extract("head", _HEADER, i)
+    rows = files.select("path", "content", head.alias("head")).select(
+        "path", "content", F.length("head").alias("at"), field(1).alias("magic"),
+        *[field(i).try_cast("int").alias(name) for i, name in ((2, "width"), (3, "height"), (4, "maximum"))],
+    )
+    channels = F.when(F.col("magic") == "P5", 1).otherwise(3)
+    size = F.col("width").cast("long") * F.col("height") * channels
+    reason = (
+        F.when(F.col("at") == 0, "header")
+        .when(~F.coalesce(F.col("maximum").between(1, 255), F.lit(False)), "maximum")
+        .when(~F.coalesce(F.length("content") - F.col("at") >= size, F.lit(False)), "size")
+    )
+    rows = rows.withColumn("reason", reason)
+    sound = lambda c: F.when(F.col("reason").isNull(), c)
+    return rows.select(
         "path",
-        field(2).cast("int").alias("width"),
-        field(3).cast("int").alias("height"),
-        F.when(field(1) == "P5", 1).otherwise(3).alias("channels"),
-        F.substring(F.col("content"), size + 1, F.length("content")).alias("data"),
+        sound(F.col("width")).alias("width"),
+        sound(F.col("height")).alias("height"),
+        sound(channels).alias("channels"),
+        sound(F.substring(F.col("content"), F.col("at") + 1, size.cast("int"))).alias("data"),
+        "reason",
     )
 
 
 def samples(images: DataFrame) -> DataFrame:
     """(path, y, x, channel, value): one row per sample."""
     at = F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("i")
-    rows = images.select("path", "width", "channels", "data", at)
+    rows = images.where(F.length("data") > 0).select("path", "width", "channels", "data", at)
     pixel = F.expr("i div channels")
     return rows.select(
         "path",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# Rows up to which a lookup side may be broadcast; two or three LONG columns stay far below 100 MB.
+# Nodes up to which `retrace_chains` works through all chains again.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -87,30 +87,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup(
-    big: DataFrame,
-    small: DataFrame,
-    key: str,
-    small_key: str,
-    how: str = "left",
-    salts: int = 16,
-    small_rows: int | None = None,
-) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left") -> DataFrame:
     """Join a side with possibly hot keys to a side whose key is unique.
 
-    A small side within `BROADCAST_ROWS` is broadcast. A larger one is copied `salts` times and the
-    big side spreads each key over the copies, so that one key never lands in one task. With
-    `salts=1` (keys of the big side are unique too) the larger case is a plain shuffle join.
+    A plain equi-join: Spark sends the small side to all tasks if its bytes are below its threshold,
+    and otherwise adaptive execution splits the partitions of hot keys and copies to these splits only
+    the rows of the small side that they need.
     """
-    rows = small.count() if small_rows is None else small_rows
     right = small.withColumnRenamed(small_key, "_rkey")
-    if rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(right), F.col(key) == F.col("_rkey"), how).drop("_rkey")
-    if salts <= 1:
-        return big.join(right, F.col(key) == F.col("_rkey"), how).drop("_rkey")
-    left = big.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
-    )
-    right = right.withColumn("_rsalt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    same = (F.col(key) == F.col("_rkey")) & (F.col("_salt") == F.col("_rsalt"))
-    return left.join(right, same, how).drop("_salt", "_rsalt", "_rkey")
+    return big.join(right, F.col(key) == F.col("_rkey"), how).drop("_rkey")

@@ -85,3 +85,14 @@ def test_degree_two_components(spark):
     with Scratch(spark, "t") as scratch:
         got = {r.id: r.label for r in degree_two_components(df, scratch).collect()}
     assert got == {5: 3, 3: 3, 9: 3, 7: 7, 1: 1, 8: 1, 2: 1}
+
+
+def test_list_rank_over_negative_ids(spark):
+    """No id of a list stands for "no neighbour"."""
+    from seqloom.operators.primitives import list_rank
+    from seqloom.storage import Scratch
+
+    rows = spark.createDataFrame([(-3, -2), (-2, -1), (-1, 0), (0, 1), (1, None)], "node long, next long")
+    with Scratch(spark, "ranks") as scratch:
+        got = sorted(map(tuple, list_rank(rows, "node", "next", scratch).collect()))
+    assert got == [(i, -3, i + 3) for i in range(-3, 2)]

@@ -127,3 +127,30 @@ def test_streaming_counts(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("live").collect())) == want
+
+
+def test_fastq_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """Splits planned differently between building the frame and running it lose no read."""
+    place = tmp_path / "many.fastq"
+    place.write_text("".join(f"@r{i}\n{'ACGT' * (i % 7 + 1)}\n+\n{'I' * 4}\n" for i in range(4000)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        read = fastq.read_fastq(spark, str(place))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        got = {r.read_no: r.seq for r in read.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {i: "ACGT" * (i % 7 + 1) for i in range(4000)}
+
+
+def test_image_headers_of_any_length_and_bad_files(spark, tmp_path):
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    (folder / "a.pgm").write_bytes(b"P5\n#" + b"x" * 3000 + b"\n2 1\n255\n\x01\x02rest")
+    (folder / "b.pgm").write_bytes(b"P5\n2 2\n255\n\x01")
+    (folder / "c.pgm").write_bytes(b"no image")
+    got = {r.path[-5:]: (r.reason, bytes(r.data) if r.data is not None else None) for r in images.read_images(spark, str(folder)).collect()}
+    assert got == {"a.pgm": (None, b"\x01\x02"), "b.pgm": ("size", None), "c.pgm": ("header", None)}
