@@ -80,5 +80,32 @@ QUERIES = {
     if name.startswith("op") and callable(made) and name[2].isdigit()
 }
 
-# Every query here but these is tested against a brute-force version in tests/llm.
-ORACLES: dict[str, str] = {}
+# All other queries are tested against a brute-force version in tests/llm.
+ORACLES: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER w <= 10
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    """,
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM f
+    """,
+}

@@ -91,11 +91,8 @@ def _strength(members: DataFrame) -> float:
     return min(max(room / more - 1, low), high)
 
 
-def _posterior(members: DataFrame, strength: float) -> DataFrame:
-    """Adds the posterior mean and weight of each member under its parent's mean."""
-    return members.withColumn("weight", F.col("n") + F.lit(strength)).withColumn(
-        "post", (F.col("bad") + F.lit(strength) * F.col("mean")) / F.col("weight")
-    )
+def _shrunk(n: Column, bad: Column, mean: Column, strength: float) -> Column:
+    return (bad + F.lit(strength) * mean) / (n + F.lit(strength))
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
@@ -118,13 +115,22 @@ def host_reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
     n, bad = hosts.agg(*sums).first()
     overall = (bad / n) if n else 0.0
     suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("mean", F.lit(overall))
-    suffixes = _posterior(suffixes, _strength(suffixes))
-    parent = suffixes.select("suffix", F.col("post").alias("mean"))
-    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(parent, "suffix")
-    domains = _posterior(domains, _strength(domains))
-    parent = domains.select("domain", "suffix", F.col("post").alias("mean"))
-    rated = hosts.join(parent, ["domain", "suffix"])
-    rated = _posterior(rated, _strength(rated))
+    by_suffix = _strength(suffixes)
+    parent = suffixes.select("suffix", F.col("n").alias("sn"), F.col("bad").alias("sb"))
+    c = F.col
+    # A member's own outcomes are left out of its parent's rate, or they would count at every level.
+    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(parent, "suffix").withColumn(
+        "mean", _shrunk(c("sn") - c("n"), c("sb") - c("bad"), F.lit(overall), by_suffix)
+    )
+    by_domain = _strength(domains)
+    parent = domains.select("domain", "suffix", c("n").alias("dn"), c("bad").alias("db"), c("mean").alias("smean"))
+    rated = hosts.join(parent, ["domain", "suffix"]).withColumn(
+        "mean", _shrunk(c("dn") - c("n"), c("db") - c("bad"), c("smean"), by_domain)
+    )
+    by_host = _strength(rated)
+    rated = rated.withColumns(
+        {"weight": c("n") + F.lit(by_host), "post": _shrunk(c("n"), c("bad"), c("mean"), by_host)}
+    )
     spread = F.sqrt(F.col("post") * (1 - F.col("post")) / (F.col("weight") + 1))
     return rated.select(
         "host", "n", "bad", F.col("post").alias("rate"), (F.col("post") - z * spread).alias("low")
