@@ -9,9 +9,13 @@
    other member, so pairs grow with the members and not with their square.
 4. Candidate pairs that sizes do not rule out are confirmed on the full sets.
 5. A star can lose a link between two members that are not linked with its centre. So buckets in
-   which members of different components remain go on with further centres (three, then twelve,
-   and so on), against members of other components only, until every bucket is in one component or
-   every member has been a centre. No bucket is capped.
+   which members of different components remain stay open. For their members the shingles are
+   counted that no member of another component has: these are in no intersection, so members with
+   too many of them, and pairs whose other shingles are too few, cannot be links. This bound is
+   exact and leaves out the far relatives of a large group, each of which would meet all others.
+6. What is left of open buckets goes on with further centres (three, then twelve, and so on),
+   against members of other components only, until every bucket is in one component or every
+   member has been a centre. No bucket is capped.
 
 Shingle sets are sets of 64-bit hashes. A pair of similarity s shares no band with probability
 (1 - s^rows)^bands: 5e-6 at 0.8 with 40 bands of 6 rows.
@@ -165,6 +169,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return joined.mapInPandas(check, "a long, b long").distinct()
 
 
+def private_counts(asking: DataFrame, texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(doc, own): shingles of a document that no document of `asking` with another label has.
+
+    `asking` has (doc, label, c), c being a document of a shared bucket. A document sends on only
+    the shingles that its c lacks. Each c sends its whole set once, and what any c has is taken as
+    shared, so `own` may be too small but never too large.
+    """
+
+    def differing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(width)
+        known, s = None, None
+        for batch in batches:
+            rest = []
+            for td, tc in zip(batch["td"], batch["tc"]):
+                if tc != known:
+                    known, s = tc, shingles(tc)
+                rest.append(np.setdiff1d(shingles(td), s, assume_unique=True).view(np.int64))
+            yield batch[["doc", "label", "central"]].assign(h=rest)
+
+    body = texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("td"))
+    of_c = texts.select(F.col("doc_id").alias("c"), F.col("text").alias("tc"))
+    rests = asking.filter("doc != c").join(body, "doc").join(of_c, "c").select(
+        "doc", "label", F.lit(False).alias("central"), "td", "tc"
+    )
+    wholes = asking.select(F.col("c").alias("doc")).distinct().join(body, "doc").select(
+        "doc", F.col("doc").alias("label"), F.lit(True).alias("central"), "td", F.lit("").cast("binary").alias("tc")
+    )
+    made = rests.unionByName(wholes).mapInPandas(differing, "doc long, label long, central boolean, h array<long>")
+    rows = scratch.write(made.select("doc", "label", "central", F.explode("h").alias("h")))
+    held = rows.groupBy("h").agg(
+        F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("central").alias("central")
+    )
+    private = held.filter("not central and l1 = l2").select("h")
+    return rows.filter("not central").join(private, "h").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
@@ -208,28 +248,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         )
     )
     names = scratch.write(connected(scratch.write(confirmed(tested, texts, width, percent))))
-    low, high = 1, 4
+    alive = buckets.select("key", "doc", "n", "c", F.col("n").alias("s"))
+    pruned, low, high = False, 1, 4
     while True:
-        named = buckets.select("key", "doc", "n").join(
-            names.withColumnRenamed("node", "doc"), "doc", "left"
-        ).select("key", "doc", "n", F.coalesce("label", "doc").alias("label"))
+        named = alive.join(names.withColumnRenamed("node", "doc"), "doc", "left").select(
+            "key", "doc", "n", "c", "s", F.coalesce("label", "doc").alias("label")
+        )
         mixed = named.groupBy("key").agg(
             F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size")
         )
         mixed = mixed.filter((F.col("l1") != F.col("l2")) & (F.col("size") > low + 1)).select("key")
-        ranked = named.join(mixed, "key").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("key").orderBy("doc")) - 1
-        )
-        ranked, open_ = scratch.write_counting(ranked, F.lit(True))
-        if not open_:
+        opened, left = scratch.write_counting(named.join(mixed, "key"), F.lit(True))
+        if not left:
             break
-        centres = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
-            F.col("rank").alias("ra"),
-        )
+        if not pruned:
+            asking = opened.groupBy("doc", "label").agg(F.min("c").alias("c"))
+            own = scratch.write(private_counts(scratch.write(asking), texts, width, scratch))
+            alive = opened.join(own, "doc", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+            alive = scratch.write(
+                alive.filter(100 * F.col("s") >= percent * F.col("n")).select("key", "doc", "n", "c", "s")
+            )
+            pruned, low, high = True, 0, 3
+            continue
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+        # A limit on the rank lets Spark cut each bucket before it is shuffled.
+        centres = opened.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)
+        centres = centres.select(
+            "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la")
+        )
+        both = F.least("s", "sa")
         pairs = (
-            ranked.join(centres, "key")
-            .filter((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & fits(F.col("n"), F.col("na")))
+            opened.join(centres, "key")
+            .filter((F.col("doc") > F.col("a")) & (F.col("label") != F.col("la")))
+            .filter(100 * both >= percent * (F.col("n") + F.col("na") - both))
             .select("a", F.col("doc").alias("b"))
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
