@@ -6,7 +6,8 @@ edits share one of the `edits + 1` segments of the shorter one at nearly its pla
 spread as the segments are: so every line is stored under the hashes of its segments, and asks with
 those substrings of itself that could be a segment of a line of its length or up to `edits`
 characters less (the multi-match-aware selection of places). Both sides meet in one equi-join that
-adaptive execution may split. Pairs that meet are verified with a bit-parallel edit distance in a
+adaptive execution may split, and pairs whose character parities differ too much are left out as they
+meet (an exact bound). The others are verified with a bit-parallel edit distance in a
 band of 2 * edits + 1 diagonals.
 
 Linked lines form classes (components); the first occurrence of a class stays.
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import BLANKS, stored
@@ -35,43 +38,69 @@ def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str
     )
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Begin (from 1) and length of segment i (from 0) of a line; longer segments come last."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length % parts
-    ahead = F.greatest(F.lit(0), F.lit(i) - (parts - longer)).cast("int")
-    return short * i + ahead + 1, short + (F.lit(i) >= parts - longer).cast("int")
+def _segment(length: int, i: int, edits: int) -> tuple[int, int]:
+    """Begin and length of segment i of a line; longer segments come last."""
+    short, longer = divmod(length, edits + 1)
+    even = edits + 1 - longer
+    return short * i + max(0, i - even), short + (i >= even)
 
 
-def segment_keys(edits: int) -> Column:
-    """Hashes under which a line is stored: its length, and each segment with its number."""
-    size = F.char_length("line")
+def stored_keys(line: str, edits: int) -> list[int]:
+    """Hashes under which a line is stored: each segment with its number and the line's length."""
     made = []
     for i in range(edits + 1):
-        at, long = _segment(size, i, edits)
-        made.append(F.xxhash64(size, F.lit(i), F.substring(F.col("line"), at, long)))
-    return F.array(*made)
+        at, long = _segment(len(line), i, edits)
+        made.append(_key(line[at : at + long], len(line), i))
+    return made
 
 
-def probe_keys(edits: int) -> Column:
+def asked_keys(line: str, edits: int) -> list[int]:
     """Hashes a line asks with, for lines of its own length and up to `edits` characters less.
 
     A segment i can have been moved by at most i edits on its left, and by the rest of the edits on
     its right, so places outside both ranges cannot be the first match.
     """
-    size = F.char_length("line")
-    made = []
+    size = len(line)
+    made = set()
     for less in range(edits + 1):
         for i in range(edits + 1):
             at, long = _segment(size - less, i, edits)
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for move in range(low, high + 1):
-                start = at + move
-                inside = (start >= 1) & (start + long - 1 <= size)
-                key = F.xxhash64(size - less, F.lit(i), F.substring(F.col("line"), start, long))
-                made.append(F.when(inside, key))
-    return F.array_distinct(F.array_compact(F.array(*made)))
+            for start in range(max(0, at + low), min(size - long, at + high) + 1):
+                made.add(_key(line[start : start + long], size - less, i))
+    return list(made)
+
+
+def _key(part: str, size: int, i: int) -> int:
+    """64-bit hash as a signed number."""
+    h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=size << 8 | i)
+    return h - (h >> 63 << 64)
+
+
+def parities(lines: pd.Series) -> np.ndarray:
+    """Per line 32 bits: whether the characters of each of 32 kinds are odd in number.
+
+    An insertion or deletion turns one bit and a substitution at most two, so lines whose bits
+    differ in more than 2 * edits places are not within `edits`.
+    """
+    sizes = lines.str.len().to_numpy(np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return np.bitwise_xor.reduceat(np.uint32(1) << (codes & np.uint32(31)), first).view(np.int32)
+
+
+def keyed(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
+    """(k1, odd, key): one row per hash a line is stored under, or asks with."""
+    keys = asked_keys if asked else stored_keys
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                made = [keys(line, edits) for line in batch["line"]]
+                yield pd.DataFrame({"k1": batch["k1"], "odd": parities(batch["line"]), "key": made})
+
+    rows = firsts.select("k1", "line").mapInPandas(make, "k1 long, odd int, key array<long>")
+    return rows.select("k1", "odd", F.explode("key").alias("key"))
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -152,16 +181,15 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: s
             F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")
         )
     )
-    places = groups.select("first.*")
-    # Only one copy of a line goes on: its hashes travel to the table of first places.
-    hashed = lines.select(
-        "doc_id", "line_no", "k1", segment_keys(edits).alias("own"), probe_keys(edits).alias("asked")
+    # Only one copy of a line goes on.
+    firsts = scratch.write(
+        lines.join(groups.select("first.*", "k1", "k2"), ["doc_id", "line_no", "k1", "k2"], "left_semi")
+        .dropDuplicates(["doc_id", "line_no", "k1", "k2"])
+        .select("k1", "line")
     )
-    firsts = hashed.join(places, ["doc_id", "line_no"], "left_semi")
-    met = stored_pairs(scratch, firsts)
+    met = met_pairs(scratch, firsts, edits)
     ends = met.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = lines.select("k1", "k2", "line").join(ends, "k1", "left_semi")
-    texts = scratch.write(wanted.dropDuplicates(["k1", "k2"]).select("k1", "line"))
+    texts = scratch.write(firsts.join(ends, "k1", "left_semi"))
     links = stored(verified(met, texts, edits), "line-links")
     names = connected(links)
     degree = (
@@ -180,12 +208,16 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: s
     return classes, links
 
 
-def stored_pairs(scratch: Scratch, firsts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of lines that meet under a hash."""
-    rows = scratch.write(firsts.select("k1", "own", "asked"))
-    own = rows.select(F.col("k1").alias("i"), F.explode("own").alias("key"))
-    asked = rows.select(F.col("k1").alias("j"), F.explode("asked").alias("key"))
-    met = own.join(asked, "key").filter("i != j")
+def met_pairs(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of lines that meet under a hash and whose parities allow a link.
+
+    The parities are a condition of the join, so that lines which share a part of a much-copied
+    passage, but differ in whole words, make no rows.
+    """
+    own = keyed(firsts, edits, False).select(F.col("k1").alias("i"), F.col("odd").alias("odd_i"), "key")
+    asked = keyed(firsts, edits, True).select(F.col("k1").alias("j"), F.col("odd").alias("odd_j"), "key")
+    turned = F.bit_count(F.col("odd_i").bitwiseXOR(F.col("odd_j")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    met = own.join(asked, "key").filter((F.col("i") != F.col("j")) & (turned <= 2 * edits))
     return scratch.write(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
 
 
