@@ -134,6 +134,14 @@ def test_repeated_lines_go(spark, odd, nothing):
     assert lines.without_repeated_lines(nothing).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Two texts under one doc_id: both lines at the same place are looked at."""
+    a, b = prose(21, 20), prose(22, 20)
+    docs = spark.createDataFrame([(5, a), (5, b), (6, a + "x"), (7, b + "y")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_links, r.class_doc) for r in lines.line_report(docs).collect()}
+    assert got == {(5, 1, 5), (6, 1, 5), (7, 1, 5)}
+
+
 def components(sets, percent):
     ids = sorted(sets)
     parent = {i: i for i in ids}
@@ -175,6 +183,24 @@ def test_near_duplicates(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_far_relatives(spark):
+    """A text and copies with more and more words changed: most share bands, few are links."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(120):
+        share = rng.choice([0.005, 0.01, 0.02, 0.04, 0.07])
+        w = [x if rng.random() > share else f"n{rng.randrange(5000)}" for x in base]
+        rows.append((rng.randrange(10**6), " ".join(w)))
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {d: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for d, t in rows}
+    wanted = components(sets, 80)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 4).collect()}
+    assert got == wanted
+    assert 1 < len(set(got.values())) < len(got)
+
+
 def test_viterbi_and_languages(spark, odd, nothing):
     rng = np.random.default_rng(0)
     for _ in range(60):
