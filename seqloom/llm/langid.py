@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import words
+from seqloom.llm.common import stored, words
 
 # First and last code points of scripts; all other letters count as "other".
 SCRIPTS = (
@@ -73,6 +73,8 @@ def _held_part(doc_id: Column, parts: int) -> Column:
 def training_words(rows: DataFrame, per_language: int) -> DataFrame:
     """(lang, word, n) over a sample by hash of at most about `per_language` texts of a language."""
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    # A written table shows its few bytes, so texts are not dealt out by language to be joined.
+    share = stored(share, "language-shares")
     drawn = (F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND(F.lit(2**40 - 1))) / float(2**40)
     return (
         rows.join(share, "lang")
