@@ -6,7 +6,11 @@ two roots. Where the trie has no way on, the failure link of a node leads to the
 left after the longest pieces have been taken off its front, and the number of pieces taken is
 stored with it; so a word is read once, its pieces are counted and never built.
 
-A word that cannot be cut into pieces counts as one unknown token.
+A beginning piece may have an empty body, as the bare word-begin mark of byte-level vocabularies: it
+is taken where no longer beginning piece fits, and the word is cut into continuing pieces after it.
+
+A word that cannot be cut into pieces counts as one unknown token. Under a byte-level vocabulary,
+which has the bare mark and every byte as a continuing piece, no word is unknown.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ def byte_letters() -> dict[str, int]:
 def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     """Beginning and continuing pieces, as bytes, of a byte-level tokenizer file at `path`.
 
+    The bare word-begin mark is the beginning piece of no bytes.
     Read on the driver only; the file's size bounds what is sent to tasks.
     """
     with open(path, encoding="utf-8") as file:
@@ -47,7 +52,7 @@ def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     for name in names:
         begins = name.startswith(WORD_BEGIN)
         body = name[1:] if begins else name
-        if body and all(c in letters for c in body):
+        if name and all(c in letters for c in body):
             (first if begins else later).append(bytes(letters[c] for c in body))
     return first, later
 
@@ -61,9 +66,11 @@ class LongestMatch:
         self.go: dict[int, int] = {}
         ends = {}
         self.size = 2
+        bare = False
         for root, words in ((self.FIRST, first), (self.LATER, later)):
             for word in words:
                 if not word:
+                    bare |= root == self.FIRST
                     continue
                 node = root
                 for b in word:
@@ -75,6 +82,8 @@ class LongestMatch:
                     node = nxt
                 ends[node] = True
         self.fail, self.popped = [-1] * self.size, [0] * self.size
+        if bare:
+            self.fail[self.FIRST], self.popped[self.FIRST] = self.LATER, 1
         children: list[list[tuple[int, int]]] = [[] for _ in range(self.size)]
         for key, node in self.go.items():
             children[key >> 8].append((key & 255, node))

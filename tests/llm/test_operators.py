@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import langid, lines, minhash, mixing, packing, quality, tokens, topk, urls, warc
+from seqloom.llm import langid, lines, minhash, mixing, packing, quality, queries, tokens, topk, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _w string, key long, label int"
 
@@ -277,6 +277,35 @@ def test_tokens(spark, odd, nothing):
     assert tokens.token_counts(nothing, [b"a"], [b"b"]).count() == 0
 
 
+def test_every_word_is_cut():
+    """A bare word-begin piece, and the vocabulary of op5 with words none of whose pieces begin a word."""
+    rng = random.Random(14)
+
+    def greedy(word, first, later):
+        n = i = 0
+        while i < len(word) or not n:
+            ends = [j for j in range(len(word), i - (not n), -1) if word[i:j] in (later if n else first)]
+            if not ends:
+                return 1
+            n, i = n + 1, ends[0]
+        return n
+
+    make = lambda most: bytes(rng.choice(b"abc") for _ in range(rng.randint(1, most)))
+    for _ in range(300):
+        first, later = {make(4) for _ in range(3)} | {b""}, {make(5) for _ in range(6)}
+        automaton = tokens.LongestMatch(first, later)
+        for _ in range(15):
+            word = make(12)
+            assert automaton.count(word) == greedy(word, first, later), (first, later, word)
+    first, later = map(set, tokens.vocabulary(queries.VOCABULARY))
+    assert b"" in first and all(bytes([b]) in later for b in range(256) if b != 0x20)
+    automaton = tokens.LongestMatch(first, later)
+    for word in ["上海", "不是", "一" * 1000, "한국어", "русский", "это", "язык", "ไทย", "the", "naïve", "🙂🙂"]:
+        body = word.encode()
+        assert automaton.count(body) == greedy(body, first, later), word
+        assert automaton.count(body) > 1 or word in ("the", "naïve"), word
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = np.round(rng.normal(size=(300, 6)), 1)
