@@ -4,7 +4,8 @@ Every page may carry a labelled outcome (bad or good, null if unlabelled). Bad r
 above: the suffix towards the rate of all pages, the registered domain towards its suffix, the host
 towards its domain. How strongly is itself estimated, one beta-binomial strength per level, from how
 much more the rates of its members vary than chance explains. A host is blocked if the lower
-posterior bound of its bad rate is above `max_bad`; hosts with few outcomes lean on their domain.
+posterior bound of its bad rate is above `lift` times the rate of all pages, or above `max_bad` where
+that is less; hosts with few outcomes lean on their domain.
 
 Everything is column expressions. Outcomes are counted per host before anything else moves, so a
 host with a third of all pages is one row from then on.
@@ -96,7 +97,8 @@ def _shrunk(n: Column, bad: Column, mean: Column, strength: float) -> Column:
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
-    """(host, n, bad, rate, low): posterior mean and lower bound of the bad rate of every host.
+    """(host, n, bad, rate, low, overall): posterior mean and lower bound of the bad rate of every
+    host, and the rate of all pages.
 
     `outcomes` has host and bad (boolean, null if unlabelled). A host without outcomes gets its
     domain's rate; without any outcome at all the rate is 0.
@@ -133,12 +135,13 @@ def host_reputation(outcomes: DataFrame, z: float = 1.64) -> DataFrame:
     )
     spread = F.sqrt(F.col("post") * (1 - F.col("post")) / (F.col("weight") + 1))
     return rated.select(
-        "host", "n", "bad", F.col("post").alias("rate"), (F.col("post") - z * spread).alias("low")
-    )
+        "host", "n", "bad", F.col("post").alias("rate"), (F.col("post") - z * spread).alias("low"),
+        F.lit(float(overall)).alias("overall"),
+    )
 
 
 def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", bad: Column | None = None,
-               rules=RULES, max_bad: float = 0.5, z: float = 1.64) -> DataFrame:
+               rules=RULES, max_bad: float = 0.5, z: float = 1.64, lift: float = 1.5) -> DataFrame:
     """One row per row of `pages`: host, path, rule, verdict, rate and lower bound of the host.
 
     `bad` is the outcome of a page as a column of `pages`, null where unlabelled (default: all).
@@ -150,10 +153,11 @@ def url_filter(pages: DataFrame, page_id: str = "page_id", url: str = "url", bad
     rows = pages.select(
         F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), outcome.alias("bad")
     )
-    known = host_reputation(rows.select("host", "bad"), z).select("host", "rate", "low")
+    known = host_reputation(rows.select("host", "bad"), z).select("host", "rate", "low", "overall")
     rows = rows.drop("bad").withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    most = F.least(F.lit(max_bad), lift * F.col("overall"))
     verdict = F.coalesce(
-        F.col("_fit.verdict"), F.when(F.col("low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
+        F.col("_fit.verdict"), F.when(F.col("low") > most, F.lit("block")).otherwise(F.lit("allow"))
     )
     return rows.join(known, "host", "left").select(
         "page_id", "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"),

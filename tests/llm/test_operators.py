@@ -369,3 +369,13 @@ def test_urls(spark):
     assert got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
     assert got[100][3] == "block" and got[400][3] == "allow"
     assert urls.url_filter(frame.limit(0)).count() == 0
+
+
+def test_hosts_of_raised_rate(spark):
+    """A host with 36 of 120 bad pages among hosts with 6 of 120 is blocked; one with 2 of 4 is not."""
+    counts = {"raised.a.net": (120, 36), "few.b.net": (4, 2)} | {f"h{i}.c{i % 7}.net": (120, 6) for i in range(40)}
+    pages = [(f"http://{h}/{i}", i < bad) for h, (n, bad) in counts.items() for i in range(n)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, bad boolean")
+    judged = urls.url_filter(frame, bad=F.col("bad"))
+    got = {r.host: r.verdict for r in judged.select("host", "verdict").distinct().collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"raised.a.net"} and len(got) == 42
