@@ -379,3 +379,19 @@ def test_hosts_of_raised_rate(spark):
     judged = urls.url_filter(frame, bad=F.col("bad"))
     got = {r.host: r.verdict for r in judged.select("host", "verdict").distinct().collect()}
     assert {h for h, v in got.items() if v == "block"} == {"raised.a.net"} and len(got) == 42
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    """Small letters and blanks only, as in the sound texts: nothing but the word rule can tell."""
+
+    def text(seed, n, share):
+        rng = random.Random(seed)
+        common, others = quality.COMMON_WORDS["en"].split(), [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klm"]
+        return " ".join(rng.choice(common if rng.random() < share else others) for _ in range(n))
+
+    good = [(i, text(i, 60 + 5 * i, 0.25), "en") for i in range(120)]
+    bad = [(500 + i, text(1000 + i, 60 + 40 * i, 0.0), "en") for i in range(8)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert not any(r.base_failed or (r.class_distance or 0) > 0.2 for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {i for i, _, _ in bad}
