@@ -2,16 +2,19 @@
 
 Documents fall into cells of (source, language, topic). Token counts of the cells are raked: scaled
 in turn so that their sums by source, by language and by topic meet the targets, until the largest
-miss is below `tolerance`. A document of a cell is then drawn with a probability in proportion to
-(fitted tokens / tokens) of its cell; the largest of these is 1, so the sample has the target mix
-without drawing a document twice. The draw is a hash of the document id: the same rows are drawn
-whatever the partitioning, and again after a lost executor.
+miss is below `tolerance`; a fit that ends above it is reported with a warning. A document of a cell
+is then due size * fitted tokens / tokens of its cell times: as often as the whole part says, and once
+more with the rest as probability. So the sample has the target mix and about `size` times the tokens
+of the corpus, whatever a single rare cell asks for. The draw is a hash of the document id: the same
+rows are drawn whatever the partitioning, and again after a lost executor.
 
 Only the table of cells is iterated on. It stays in Spark, since sources may be many.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +54,9 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], cycles: int = 30, tol
     """`table` with `fitted`: tokens scaled to the target shares of each side.
 
     A target for a name that no cell has cannot be met; the others are scaled to the rest. Cells of
-    a name without a target get 0. Each cycle is one written table.
+    a name without a target get 0. Each cycle is one written table. If the largest miss of the last
+    cycle is above `tolerance`, a RuntimeWarning gives it: the targets then contradict each other on
+    the cells that there are, or need more cycles.
     """
     scratch = Scratch(table.sparkSession, "raking")
     total = table.agg(F.sum("tokens")).first()[0] or 0
@@ -71,24 +76,34 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], cycles: int = 30, tol
             now = now.join(factor, side).withColumn("fitted", F.col("fitted") * F.col("factor"))
             now = now.withColumn("miss", F.greatest("miss", F.abs(F.col("factor") - 1))).drop("factor")
         now = scratch.write(now)
-        if (now.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
+        miss = now.agg(F.max("miss")).first()[0] or 0.0
+        if miss <= tolerance:
             break
+    else:
+        if cycles:
+            warnings.warn(
+                f"raking has not converged: largest miss {miss:.3g} after {cycles} cycles, tolerance {tolerance:g}",
+                RuntimeWarning,
+                stacklevel=2,
+            )
     done = stored(now.drop("miss"), "raked")
     scratch.drop_all()
     return done
 
 
-def probabilities(fitted: DataFrame) -> DataFrame:
-    """Drawing probability of each cell's documents: fitted over own tokens, the largest 1."""
+def dues(fitted: DataFrame, size: float) -> DataFrame:
+    """How often each cell's documents are due: `size` times fitted over own tokens."""
     ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0)
-    most = fitted.agg(F.max(ratio)).first()[0] or 1.0
-    return fitted.select(*SIDES, (ratio / F.lit(most)).alias("probability"))
+    return fitted.select(*SIDES, (ratio * F.lit(float(size))).alias("due"))
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None,
         cycles: int = 30, tolerance: float = 1e-3, doc_id: str = "doc_id", text: str = "text",
-        source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
-    """One row per row of `docs`: doc_id, tokens, probability, sampled.
+        source: str = "source", lang: str = "lang", topic: Column | None = None, size: float = 1.0) -> DataFrame:
+    """One row per row of `docs`: doc_id, tokens, probability, sampled, copies.
+
+    `copies` is how often the row is in the sample, `sampled` whether it is at all, `probability` the
+    chance of that; the sample has about `size` times the tokens of `docs`.
 
     `targets` maps source, lang and topic to tables (name, target); a side that is not given takes
     the corpus' own shares softened by `powers` (below 1 lifts what is rare). Null sources and
@@ -113,16 +128,22 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[s
     table = stored(cells(rows.filter("tokens > 0")), "cells")
     wanted = {side: (targets or {}).get(side) for side in SIDES}
     wanted = {s: softened(table, s, powers[s]) if t is None else t for s, t in wanted.items()}
-    chances = probabilities(raked(table, wanted, cycles, tolerance))
+    due = dues(raked(table, wanted, cycles, tolerance), size)
     drawn = F.shiftrightunsigned(F.coalesce("_t", "_h"), 11) / float(2**53)
-    out = rows.join(chances, list(SIDES), "left").withColumn(
-        "probability", F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
+    out = rows.join(due, list(SIDES), "left").withColumn(
+        "due", F.when(F.col("tokens") > 0, F.coalesce("due", F.lit(0.0))).otherwise(0.0)
+    )
+    whole = F.floor("due")
+    copies = whole + (drawn < F.col("due") - whole).cast("long")
+    return out.select(
+        "doc_id", "tokens", F.least("due", F.lit(1.0)).alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies")
     )
-    return out.select("doc_id", "tokens", "probability", (drawn < F.col("probability")).alias("sampled"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that `mix` samples, all columns kept."""
+    """The documents that `mix` samples, as often as it does, all columns kept."""
     asked = mix(docs, doc_id=doc_id, **options).filter("sampled and doc_id is not null")
-    ids = asked.select(F.col("doc_id").alias("_drawn")).distinct()
-    return docs.join(ids, F.col(doc_id).cast("long") == F.col("_drawn"), "left_semi")
+    ids = asked.groupBy(F.col("doc_id").alias("_drawn")).agg(F.max("copies").alias("_copies"))
+    rows = docs.join(ids, F.col(doc_id).cast("long") == F.col("_drawn"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return rows.withColumn("_copy", times).select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import warnings
 
 import numpy as np
 import pytest
@@ -395,3 +396,26 @@ def test_quality_rejects_texts_without_common_words(spark):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     assert not any(r.base_failed or (r.class_distance or 0) > 0.2 for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {i for i, _, _ in bad}
+
+
+def test_mixing_with_one_rare_cell(spark):
+    """One document of a rare source and language neither thins the others out nor goes unreported."""
+    rng = random.Random(12)
+    rows = [(i, prose(i, 20), rng.choice("ab"), rng.choice("xyz")) for i in range(600)] + [(600, prose(600, 20), "rare", "seldom")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        got = mixing.mix(docs, cycles=6).collect()
+    total = sum(r.tokens for r in got)
+    assert sum(r.copies * r.tokens for r in got) == pytest.approx(total, rel=0.1)
+    assert all(r.sampled == (r.copies > 0) for r in got) and sum(r.sampled for r in got) > 500
+    rare = next(r.copies for r in got if r.doc_id == 600)
+    assert rare > 1
+    even = {"lang": spark.createDataFrame([("x", 0.8), ("y", 0.1), ("z", 0.1)], "lang string, target double")}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        own = docs.filter("doc_id < 600")
+        got = {r.doc_id: r for r in mixing.mix(own, targets=even, size=2.0).collect()}
+    by = {x: sum(got[i].copies for i, _, _, lang in rows[:600] if lang == x) / 1200 for x in "xyz"}
+    assert by == pytest.approx({"x": 0.8, "y": 0.1, "z": 0.1}, abs=0.03)
+    made = mixing.mixed(own, targets=even, size=2.0).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in made} == {i: r.copies for i, r in got.items() if r.copies}
