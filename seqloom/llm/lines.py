@@ -10,6 +10,12 @@ adaptive execution may split, and pairs whose character parities differ too much
 meet (an exact bound). The others are verified with a bit-parallel edit distance in a
 band of 2 * edits + 1 diagonals.
 
+Two edits are little for a long line, so lines of 25 words or more are also linked by edits of whole
+words, as many as `word_edits` gives for the shorter of the two. The same join does it, with words in
+place of characters: a line is stored under the segments of its own number of words, and a longer one
+asks with the segments that a shorter one would have, whatever the band of its length. Lines under
+`min_chars` characters are too short for edits; they are one class if they are equal.
+
 Linked lines form classes (components); the first occurrence of a class stays.
 """
 
@@ -38,6 +44,46 @@ def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str
     )
 
 
+def word_edits(n: int) -> int:
+    """Edits of whole words allowed in a line of n words: none under 25, 1 under 50, 2 under 100, and
+    2 more with every doubling, so that the keys of a line grow more slowly than the line."""
+    band = (n // 25).bit_length() - 1
+    return max(1, 2 * band) if band >= 0 else 0
+
+
+def word_keys(words: list[str], asked: bool) -> list[int]:
+    """Hashes of runs of words: see `stored_keys` and `asked_keys`. None if no edits are allowed."""
+    size = len(words)
+    made = set()
+    for less in range(word_edits(size) + 1 if asked else 1):
+        edits = word_edits(size - less)
+        if not edits or less > edits:
+            continue
+        for i in range(edits + 1):
+            at, long = _segment(size - less, i, edits)
+            low, high = (max(-i, less - (edits - i)), min(i, less + (edits - i))) if asked else (0, 0)
+            for start in range(max(0, at + low), min(size - long, at + high) + 1):
+                made.add(_key(" ".join(words[start : start + long]), size - less, i))
+    return list(made)
+
+
+def word_parities(words: list[str]) -> int:
+    """64 bits: whether the words of each of 64 kinds are odd in number; an edit turns two at most."""
+    odd = 0
+    for w in words:
+        odd ^= 1 << (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & 63)
+    return odd - (odd >> 63 << 64)
+
+
+def near_lines(a: str, b: str, edits: int) -> bool:
+    """Whether two lines are linked, by characters or by words."""
+    if within(a, b, edits):
+        return True
+    x, y = a.split(), b.split()
+    most = word_edits(min(len(x), len(y)))
+    return most > 0 and within(x, y, most)
+
+
 def _segment(length: int, i: int, edits: int) -> tuple[int, int]:
     """Begin and length of segment i of a line; longer segments come last."""
     short, longer = divmod(length, edits + 1)
@@ -103,7 +149,28 @@ def keyed(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
     return rows.select("k1", "odd", F.explode("key").alias("key"))
 
 
-def within(a: str, b: str, edits: int) -> bool:
+def word_keyed(firsts: DataFrame, asked: bool) -> DataFrame:
+    """(k1, odd, n, key): one row per hash of words a line is stored under, or asks with."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = [line.split() for line in batch["line"]]
+            yield pd.DataFrame(
+                {
+                    "k1": batch["k1"],
+                    "odd": np.array([word_parities(w) for w in split], np.int64),
+                    "n": np.array([len(w) for w in split], np.int32),
+                    "key": [word_keys(w, asked) for w in split],
+                }
+            )
+
+    # Fewer than 49 characters cannot hold 25 words.
+    rows = firsts.filter(F.char_length("line") >= 49).select("k1", "line")
+    rows = rows.mapInPandas(make, "k1 long, odd long, n int, key array<long>")
+    return rows.select("k1", "odd", "n", F.explode("key").alias("key"))
+
+
+def within(a: str | list[str], b: str | list[str], edits: int) -> bool:
     """Whether `b` is at most `edits` insertions, deletions or substitutions from `a`.
 
     What both have in common at either end is cut off. The rest is walked along its diagonal: a
@@ -153,11 +220,11 @@ def within(a: str, b: str, edits: int) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of first hashes whose lines are within `edits`; `texts` has (k1, line)."""
+    """Pairs (a, b) of first hashes whose lines are linked; `texts` has (k1, line)."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [within(x, y, edits) for x, y in zip(batch["la"], batch["lb"])]
+            keep = [near_lines(x, y, edits) for x, y in zip(batch["la"], batch["lb"])]
             yield batch.loc[keep, ["a", "b"]]
 
     la = texts.select(F.col("k1").alias("a"), F.col("line").alias("la"))
@@ -167,15 +234,16 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: str = "doc_id",
-                 text: str = "text") -> tuple[DataFrame, DataFrame]:
+                 text: str = "text", short: bool = True) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, copies, first, n_links, class_first) and the links (a, b) between them.
 
     `first` and `class_first` are (doc_id, line_no). Links are found between first hashes: two lines
     that share a 64-bit hash but not the second one are one node, and only of the class table are
-    they told apart. Nulls, blank lines and lines under `min_chars` characters take no part.
+    they told apart. Lines under `min_chars` characters have no links; without `short` they take no
+    part, as nulls and blank lines never do.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs, min_chars, doc_id, text)
+    lines = lines_of(docs, 1 if short else min_chars, doc_id, text)
     groups = scratch.write(
         lines.groupBy("k1", "k2").agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")
@@ -183,7 +251,8 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: s
     )
     # Only one copy of a line goes on.
     firsts = scratch.write(
-        lines.join(groups.select("first.*", "k1", "k2"), ["doc_id", "line_no", "k1", "k2"], "left_semi")
+        lines.filter(F.char_length("line") >= min_chars)
+        .join(groups.select("first.*", "k1", "k2"), ["doc_id", "line_no", "k1", "k2"], "left_semi")
         .dropDuplicates(["doc_id", "line_no", "k1", "k2"])
         .select("k1", "line")
     )
@@ -217,20 +286,28 @@ def met_pairs(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     own = keyed(firsts, edits, False).select(F.col("k1").alias("i"), F.col("odd").alias("odd_i"), "key")
     asked = keyed(firsts, edits, True).select(F.col("k1").alias("j"), F.col("odd").alias("odd_j"), "key")
     turned = F.bit_count(F.col("odd_i").bitwiseXOR(F.col("odd_j")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    met = own.join(asked, "key").filter((F.col("i") != F.col("j")) & (turned <= 2 * edits))
+    met = own.join(asked, "key").filter((F.col("i") != F.col("j")) & (turned <= 2 * edits)).select("i", "j")
+    own = word_keyed(firsts, False).select(F.col("k1").alias("i"), F.col("odd").alias("odd_i"), F.col("n").alias("n_i"), "key")
+    asked = word_keyed(firsts, True).select(F.col("k1").alias("j"), F.col("odd").alias("odd_j"), F.col("n").alias("n_j"), "key")
+    # Bands of `word_edits` in the join: 1 under 50 words, then 2 more with every doubling.
+    band = F.floor(F.log2(F.floor(F.least("n_i", "n_j") / 25) + F.lit(1e-9)))
+    most = F.greatest(F.lit(1), 2 * band)
+    turned = F.bit_count(F.col("odd_i").bitwiseXOR(F.col("odd_j")))
+    by_words = own.join(asked, "key").filter((F.col("i") != F.col("j")) & (turned <= 2 * most)).select("i", "j")
+    met = met.unionByName(by_words)
     return scratch.write(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
 
 
 def line_report(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: str = "doc_id",
-                text: str = "text") -> DataFrame:
+                text: str = "text", short: bool = True) -> DataFrame:
     """One row per line that takes part: doc_id, line_no, class_doc, class_line, n_links, kept.
 
-    n_links counts the other distinct lines within `edits`; kept is true where the class has its
+    n_links counts the other distinct lines linked to it; kept is true where the class has its
     first occurrence (smallest doc_id, then line_no). Rows that repeat a doc_id have the same places
     and are treated alike. Empty tables give an empty result.
     """
-    classes, _ = line_classes(docs, edits, min_chars, doc_id, text)
-    lines = lines_of(docs, min_chars, doc_id, text).drop("line")
+    classes, _ = line_classes(docs, edits, min_chars, doc_id, text, short)
+    lines = lines_of(docs, 1 if short else min_chars, doc_id, text).drop("line")
     return lines.join(classes, ["k1", "k2"]).select(
         "doc_id", "line_no",
         F.col("class_first.doc_id").alias("class_doc"), F.col("class_first.line_no").alias("class_line"),
@@ -240,12 +317,12 @@ def line_report(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: st
 
 
 def without_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: str = "doc_id",
-                           text: str = "text") -> DataFrame:
+                           text: str = "text", short: bool = False) -> DataFrame:
     """`docs` with every line taken out that is not the first of its class; all columns stay.
 
-    Documents that lose all their words go; rows that had none before, or no doc_id, stay.
+    Lines under `min_chars` characters go only with `short`. Documents that lose all their words go; rows that had none before, or no doc_id, stay.
     """
-    gone = line_report(docs, edits, min_chars, doc_id, text).filter("not kept")
+    gone = line_report(docs, edits, min_chars, doc_id, text, short).filter("not kept")
     by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
     rows = docs.join(by_doc, F.col(doc_id).cast("long") == F.col("_doc"), "left").withColumn(
         "_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n"))

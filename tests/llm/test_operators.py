@@ -419,3 +419,27 @@ def test_mixing_with_one_rare_cell(spark):
     assert by == pytest.approx({"x": 0.8, "y": 0.1, "z": 0.1}, abs=0.03)
     made = mixing.mixed(own, targets=even, size=2.0).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in made} == {i: r.copies for i, r in got.items() if r.copies}
+
+
+def test_long_near_lines_and_short_copies(spark):
+    """Words changed in long lines, over the bands of lengths, and exact copies of short lines."""
+    rng = random.Random(31)
+    found = set()
+    for n in (24, 26, 49, 51, 60, 101):
+        base = [f"word{rng.randrange(10**6)}" for _ in range(n)]
+        found.add(" ".join(base))
+        for changes in (1, 2, 3, 4, 5):
+            w = list(base)
+            for _ in range(changes):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randint(0, 1)] = rng.choice([[], ["new"], [f"other{rng.random()}"]])
+            found.add(" ".join(w))
+    found = sorted(found)
+    near = lambda a, b: edits(a, b) <= lines.word_edits(min(len(a), len(b)))
+    want = {(a, b) for a, b in itertools.combinations(found, 2) if near(a.split(), b.split())}
+    docs = spark.createDataFrame([(i, f"{x}\nshort\n") for i, x in enumerate(found)], "doc_id long, text string")
+    _, links = lines.line_classes(docs)
+    text = {r.k1: r.line for r in lines.lines_of(docs, 1).collect()}
+    assert {tuple(sorted((text[r.a], text[r.b]))) for r in links.collect()} == want and len(want) > 10
+    short = [(r.doc_id, r.class_doc, r.kept) for r in lines.line_report(docs).filter("line_no = 1").collect()]
+    assert sorted(short) == [(i, 0, i == 0) for i in range(len(found))]
