@@ -57,7 +57,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Edit joins and raking have no SQL of a bearable cost; tests compare with a brute-force version.
+# Edit joins and raking have no SQL of a bearable cost; tests/llm compares the operators with
+# brute-force versions, but not the stages and their order.
 ORACLE_SQL = None
 
 
