@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import langid, lines, minhash, mixing, packing, quality, tokens, topk, urls, warc
+from seqloom.llm import langid, lines, merkle, minhash, mixing, packing, quality, tokens, topk, toxicity, urls, warc, whitening
 from seqloom.llm.common import table
 from seqloom.storage import Scratch
 
@@ -74,6 +74,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_words", "n_hits")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     name: made
     for name, made in list(globals().items())
@@ -108,4 +121,71 @@ ORACLES: dict[str, str] = {
                CASE WHEN first < page_id THEN first END AS refers_to
         FROM f
     """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE crc_step(i, k, c) AS (
+            SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+            UNION ALL
+            SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8
+        ), crc_table AS (
+            SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8
+        ), d AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text,
+                   7 * (crc // 7) = crc AND n_chars IS NOT NULL AS changed
+            FROM (
+                SELECT documents.*, xor(4294967295, list_reduce(
+                    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                    lambda a, b: xor(a >> 8, t[1 + xor(a & 255, b)]), 4294967295)) AS crc
+                FROM documents, crc_table
+            )
+        ), f AS (
+            SELECT rid, doc_id, lang, changed,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                       || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS own,
+                   coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM d
+        ), leaves AS (
+            SELECT rid, doc_id, coalesce('=' || lang, '') AS grp, sha256(head || own || tail) AS leaf,
+                   sha256(head || CASE WHEN changed THEN more ELSE own END || tail) AS shown
+            FROM f
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+        ), nodes(grp, lvl, pos, h, n) AS (
+            SELECT grp, 0, pos, leaf, count(*) OVER (PARTITION BY grp) FROM placed
+            UNION ALL
+            SELECT grp, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+            FROM nodes WHERE n > 1 GROUP BY grp, lvl, pos // 2, n
+        ), subroots AS (
+            SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS gpos FROM nodes WHERE n = 1
+        ), tops(lvl, pos, h, n) AS (
+            SELECT 0, gpos, subroot, count(*) OVER () FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+            FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n
+        ), height AS (
+            SELECT grp, max(lvl) AS up FROM nodes GROUP BY grp
+        ), way AS (
+            SELECT p.rid, l.i AS lvl, (p.pos >> l.i) & 1 AS slot, coalesce(s.h, '') AS sibling
+            FROM placed p JOIN height USING (grp) JOIN range(64) l(i) ON l.i < up
+            LEFT JOIN nodes s ON s.grp = p.grp AND s.lvl = l.i AND s.pos = xor(p.pos >> l.i, 1)
+            UNION ALL
+            SELECT p.rid, up + l.i, (g.gpos >> l.i) & 1, coalesce(s.h, '')
+            FROM placed p JOIN height USING (grp) JOIN subroots g USING (grp)
+            JOIN range(64) l(i) ON l.i < (SELECT max(lvl) FROM tops)
+            LEFT JOIN tops s ON s.lvl = l.i AND s.pos = xor(g.gpos >> l.i, 1)
+        ), ways AS (
+            SELECT rid, list({'slot': slot, 'sibling': sibling} ORDER BY lvl) AS steps FROM way GROUP BY rid
+        ), climb(rid, lvl, h, steps) AS (
+            SELECT rid, 0, shown, coalesce(steps, []) FROM placed LEFT JOIN ways USING (rid)
+            UNION ALL
+            SELECT rid, lvl + 1, sha256(CASE WHEN steps[lvl + 1].slot = 1 THEN steps[lvl + 1].sibling || h ELSE h || steps[lvl + 1].sibling END), steps
+            FROM climb WHERE lvl < len(steps)
+        )
+        SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+               sha256(array_to_string(list_transform(steps, lambda s: s.sibling), '')) AS proof_sha256,
+               h AS folded_root, h = (SELECT h FROM tops WHERE n = 1) AS verified
+        FROM climb JOIN placed USING (rid) JOIN subroots USING (grp)
+        WHERE lvl = len(steps)
+    """,
 }
