@@ -16,7 +16,7 @@ COMPLEMENT_CODES = (0, 3, 0, 2, 0, 0, 0, 1)
 BASES = "ACGT"
 MAX_WORD = 32
 
-_HEX = "0123456789ABCDEF"
+_BYTES = "".join(map(chr, range(256)))
 _SIGN = -(1 << 63)
 
 
@@ -36,9 +36,9 @@ def word_mask(bases: int) -> int:
 
 
 def _code_digits(text: Column, codes: tuple[int, ...]) -> Column:
-    """One base-4 digit per byte of a string or binary. Only the low hex digit of a byte matters."""
-    low = F.regexp_replace(F.hex(text), "(.)(.)", "$2")
-    return F.translate(low, _HEX, "".join(str(codes[i & 7]) for i in range(16)))
+    """One base-4 digit per byte of a string or binary; Latin-1 makes one character of every byte."""
+    chars = F.decode(text.cast("binary"), "ISO-8859-1")
+    return F.translate(chars, _BYTES, "".join(str(codes[i & 7]) for i in range(256)))
 
 
 def forward_digits(text: Column) -> Column:
@@ -55,6 +55,30 @@ def pack_digits(digits: Column) -> Column:
     return F.conv(digits, 4, -10).cast("long")
 
 
+def pack_blocks(digits: Column) -> Column:
+    """Array of LONGs with 32 digits each, zeros after the last one.
+
+    The digits are bound to a variable of their own, or each block would make them again; as bytes,
+    they are cut without counting characters.
+    """
+
+    def blocks(bytes_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(bytes_), F.lit(1)), F.lit(MAX_WORD))
+        part = lambda at: F.substring(bytes_, at, F.lit(MAX_WORD)).cast("string")
+        return F.transform(starts, lambda at: pack_digits(F.rpad(part(at), MAX_WORD, "0")))
+
+    return F.get(F.transform(F.array(digits.cast("binary")), blocks), F.lit(0))
+
+
+def word_in(block: Column, following: Column, offset: Column, length: int) -> Column:
+    """The word of `length` bases that begins `offset` (0 to 31) bases into two packed blocks."""
+    left = (2 * offset).cast("int")
+    begun = F.call_function("shiftleft", block, left)
+    more = F.call_function("shiftrightunsigned", following, F.lit(2 * MAX_WORD) - left)
+    both = F.when(offset > 0, begun.bitwiseOR(more)).otherwise(block)
+    return F.shiftrightunsigned(both, 2 * (MAX_WORD - length))
+
+
 def unsigned_order(word: Column, bases: int) -> Column:
     """Key whose signed order is the unsigned order of the word."""
     return word.bitwiseXOR(F.lit(_SIGN)) if bases == MAX_WORD else word

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import encoding as enc
-from seqloom.storage import shuffle_width
+from seqloom.operators.superwords import counted, super_words
+from seqloom.storage import spread
 
 # Bytes of one read handled per row before windows are cut; bounds the size of any array.
 PIECE = 1 << 16
 
+# Words up to this length (a million kinds) are combined by every task before they are sent.
+COMBINED = 10
+
 
 def windows(
     reads: DataFrame, length: int, strand: str = "both", id_col: str = "read_id", seq_col: str = "seq"
@@ -31,9 +35,7 @@ def windows(
         F.length("_bytes").alias("_size"),
         F.substring("_bytes", F.col("_start") + 1, F.lit(PIECE + length - 1)).alias("_piece"),
     )
-    # A piece grows about sixteenfold below. Dealing pieces out evenly costs little next to that and
-    # keeps a file of one row group, or one huge read, from becoming one task.
-    pieces = pieces.repartition(shuffle_width(reads.sparkSession))
+    pieces = spread(pieces)  # a piece grows about sixteenfold below
     piece = F.col("_piece")
     sides = {
         "f": (enc.forward_digits(piece), F.col("_start")),
@@ -44,28 +46,39 @@ def windows(
         *[
             F.struct(
                 F.lit(s).alias("strand"),
-                sides[s][0].cast("binary").alias("_digits"),
+                enc.pack_blocks(sides[s][0]).alias("_blocks"),
                 sides[s][1].alias("_base"),
             )
             for s in wanted
         ]
     )
-    lines = pieces.select(id_col, F.explode(side).alias("_s")).select(id_col, "_s.*")
-    offsets = F.sequence(F.lit(0), F.length("_digits") - length)
-    cut = lines.select(id_col, "strand", "_base", "_digits", F.explode(offsets).alias("_off"))
-    word = F.substring("_digits", F.col("_off") + 1, F.lit(length)).cast("string")
+    lines = pieces.select(id_col, F.length("_piece").alias("_bases"), F.explode(side).alias("_s"))
+    lines = lines.select(id_col, "_bases", "_s.*")
+    offsets = F.sequence(F.lit(0), F.col("_bases") - length)
+    cut = lines.select(id_col, "strand", "_base", "_blocks", F.explode(offsets).alias("_off"))
+    # Each window is two shifts of the packed blocks it touches.
+    block = F.shiftright("_off", 5)
+    word = enc.word_in(
+        F.get("_blocks", block),
+        F.coalesce(F.get("_blocks", block + 1), F.lit(0).cast("long")),
+        F.col("_off").bitwiseAND(F.lit(31)),
+        length,
+    )
     return cut.select(
-        F.col(id_col),
-        "strand",
-        (F.col("_base") + F.col("_off")).cast("long").alias("pos"),
-        enc.pack_digits(word).alias("lmer"),
+        F.col(id_col), "strand", (F.col("_base") + F.col("_off")).cast("long").alias("pos"), word.alias("lmer")
     )
 
 
 def word_counts(
     reads: DataFrame, length: int, strand: str = "both", id_col: str = "read_id", seq_col: str = "seq"
 ) -> DataFrame:
-    """(lmer, cnt) over all windows. The map-side combine absorbs words that fill the input."""
+    """(lmer, cnt) over all windows.
+
+    Short words are few, so the map-side combine leaves hardly anything to send. Longer ones are mostly
+    different, and are sent in runs by minimizer (`superwords`).
+    """
+    if length > COMBINED:
+        return counted(super_words(reads, length, strand, seq_col), length)
     cut = windows(reads, length, strand, id_col, seq_col)
     return cut.groupBy("lmer").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -87,6 +87,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt out evenly if they come from fewer files than there are cores.
+
+    A small file, one row group or one huge row would otherwise be one task of work that grows
+    manyfold; inputs of many files are not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(shuffle_width(rows.sparkSession)) if len(rows.inputFiles()) < cores else rows
+
+
 def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left") -> DataFrame:
     """Join a side with possibly hot keys to a side whose key is unique.
 
