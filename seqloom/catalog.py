@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from seqloom.functions import encoding as enc
 from seqloom.metrics import Metrics, xml_lines
 from seqloom.operators import circuits as cg
+from seqloom.operators import contigs as ct
 from seqloom.operators import graph as g
 from seqloom.operators import hashindex as hx
 from seqloom.operators import matrix as mx
 from seqloom.operators import primitives as pr
 from seqloom.operators import words as wd
+from seqloom.operators.correction import correct_reads
 from seqloom.operators.components import connected_components, degree_two_components
 from seqloom.operators.scan import dense_index, following, row_numbers, scan, segmented_scan
 from seqloom.operators.suffixes import suffix_array
@@ -301,6 +303,52 @@ def contig_lengths(spark, sf):
     return Assembly(urls(spark, sf), URL).contig_lengths()
 
 
+@query
+def cycle_contigs(spark, sf):
+    """Circular contigs before the swipe, each from its least rotation; equal ones together."""
+    asm = Assembly(urls(spark, sf), SHORT)
+    lmers = g.unroll(asm.graph.arcs, g.edge_id().alias("eid"), "lmer")
+    parts = ct.cycle_parts(asm.chains, lmers, scratch(spark, "cycles"))
+    return parts.groupBy("part", "seq", "bases").agg(F.count(F.lit(1)).alias("contigs"))
+
+
+@query
+def graph_checks(spark, sf):
+    """Counts, offsets and successors of the graph of all documents against each other."""
+    return Assembly(documents(spark, sf), SHORT).checks()
+
+
+def planted_reads(spark, sf):
+    """Reads of 100 bases at every 12th base of sequences derived from the lines of the documents.
+
+    A line gives the 64 bases of the hash of its document, number and text. Every seventh read that lies inside its sequence has a wrong
+    base, every fourteenth two: (read_id, seq, truth).
+    """
+    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    line = lambda x, i: F.sha2(F.concat_ws(":", F.col("doc_id"), i, x), 256)
+    bases = F.translate(F.array_join(F.transform("lines", line), ""), "0123456789abcdef", "ACGT" * 4)
+    docs = docs.select("doc_id", bases.alias("bases"), F.length(bases).cast("long").alias("n")).filter("n >= 100")
+    cut = docs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 100) / 12))))
+    cut = cut.withColumn("truth", F.substring("bases", (F.col("i") * 12 + 1).cast("int"), F.lit(100)))
+    place = (F.pmod(F.col("i") * 13 + F.col("doc_id") * 7, F.lit(30)) + 21).cast("int")
+    wrong = lambda seq, at: F.overlay(seq, F.translate(F.substring(seq, at, F.lit(1)), "ACGT", "CGTA"), at)
+    once = wrong(F.col("truth"), place)
+    seq = F.when(F.col("i") % 14 == 3, wrong(once, place + 31)).when(F.col("i") % 7 == 3, once)
+    inside = (F.col("i") * 12 >= 100) & (F.col("i") * 12 + 200 <= F.col("n"))
+    return cut.select(
+        F.concat_ws(":", "doc_id", "i").alias("read_id"),
+        F.coalesce(F.when(inside, seq), F.col("truth")).alias("seq"),
+        "truth",
+    )
+
+
+@query
+def corrected_reads(spark, sf):
+    """Reads with planted errors after their correction; their SQL makes the reads without errors."""
+    reads = materialize(planted_reads(spark, sf), "planted").select("read_id", "seq")
+    return correct_reads(reads, DEFAULT_LENGTH, scratch=scratch(spark, "correction"))
+
+
 @query
 def document_contigs(spark, sf):
     """The whole assembly of the documents with 17-mers."""

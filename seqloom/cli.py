@@ -27,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", type=int, default=DEFAULT_LENGTH - 1, help="k-mer length (vertices)")
     p.add_argument("-d", "--dump", help="folder for a dump of the graph")
     p.add_argument("--dump-format", choices=("long", "dot"), default="long")
+    p.add_argument("--ec-tuple-size", type=int, help="word length of read correction; none without it")
+    p.add_argument("--max-ec-pos", type=int, default=4, help="most bases repaired in a read")
     p.add_argument("--metrics", help="file for run statistics as XML items")
     return p
 
@@ -34,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> Metrics:
     metrics = Metrics()
     begun = time.time()
-    asm = Assembly(reads_from_fastq(spark, args.input), args.k + 1)
+    asm = Assembly(reads_from_fastq(spark, args.input), args.k + 1, args.ec_tuple_size, args.max_ec_pos)
     for key, step in (
         ("TM_DEBRUIJN_CONSTRUCTION", lambda: asm.graph.arcs),
         ("TM_COMPONENT", lambda: asm.chains),

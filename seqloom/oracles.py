@@ -289,6 +289,38 @@ def oracles() -> dict[str, str]:
     sql["spanning_forest"] = _with(forest_ctes(*U9, ROUNDS), "SELECT ceid FROM forest")
     sql["swipe"] = _with(swipe_ctes(*U9, ROUNDS), "SELECT eid, s FROM sw")
     sql["merged_starts"] = _with(contig_ctes(*U9, ROUNDS), "SELECT eid FROM start")
+    sql["cycle_contigs"] = _with(
+        labelled(URLS, SHORT, ROUNDS)
+        + ", ring AS (SELECT s.eid, s.s, s.lmer % 4 AS base, label FROM s JOIN lab USING (eid) WHERE label NOT IN "
+        "(SELECT label FROM s JOIN lab USING (eid) WHERE s.s IS NULL))"
+        ", round(label, eid, s, text) AS (SELECT label, eid, s, substr('ACGT', CAST(base AS INTEGER) + 1, 1) FROM ring "
+        "WHERE eid = label UNION ALL SELECT a.label, b.eid, b.s, text || substr('ACGT', CAST(b.base AS INTEGER) + 1, 1) "
+        "FROM round a JOIN ring b ON b.eid = a.s WHERE b.eid <> a.label)"
+        ", whole AS (SELECT label, text, length(text) AS size FROM round WHERE s = label)"
+        ", turned AS (SELECT label, size, min(substr(text || text, CAST(i AS INTEGER) + 1, CAST(size AS INTEGER))) AS seq "
+        "FROM (SELECT *, unnest(range(size)) AS i FROM whole) GROUP BY label, size)",
+        "SELECT CAST(i // 4096 AS BIGINT) AS part, CAST(size AS BIGINT) AS bases, count(*) AS contigs, "
+        "substr(seq, CAST(i + 1 AS INTEGER), 4096) AS seq "
+        "FROM (SELECT *, unnest(range(0, size, 4096)) AS i FROM turned) GROUP BY ALL",
+    )
+    none = "CAST(NULL AS BIGINT)"
+    sound = (
+        "entering_offset leaving_offset edge_range successor_range entering_step leaving_step entering_count "
+        "leaving_count vertex_missing successor_missing successor_elsewhere successor_shared"
+    ).split()
+    sql["graph_checks"] = _with(
+        edge_table(*D7),
+        f"SELECT 'words' AS \"check\", CAST(sum(cnt) AS BIGINT) AS value, CAST(0 AS BIGINT) AS bad, {none} AS first FROM cnts "
+        + "".join(f"UNION ALL SELECT '{name}', count(*), 0, {none} FROM e " for name in ("edges", "entering", "leaving"))
+        + f"UNION ALL SELECT 'successor_unset', count(*) FILTER (WHERE s IS NULL), 0, {none} FROM s "
+        + " ".join(f"UNION ALL SELECT '{name}', {none}, 0, {none}" for name in sound),
+    )
+    sql["corrected_reads"] = (
+        "WITH d AS (SELECT doc_id, translate(array_to_string(list_transform(string_split(text, chr(10)), "
+        "lambda x, i: sha256(doc_id || ':' || (i - 1) || ':' || x)), ''), '0123456789abcdef', 'ACGTACGTACGTACGT') AS bases FROM documents) "
+        "SELECT doc_id || ':' || i AS read_id, substr(bases, CAST(12 * i + 1 AS INTEGER), 100) AS seq "
+        "FROM (SELECT *, unnest(range((length(bases) - 100) // 12 + 1)) AS i FROM d WHERE length(bases) >= 100)"
+    )
     sql["contigs"] = _with(
         contig_ctes(*U9, ROUNDS),
         "SELECT contig, rank // 4096 AS part, string_agg(CASE WHEN rank = 0 THEN "

@@ -17,7 +17,9 @@ from seqloom.operators import contigs as ct
 from seqloom.operators import graph as g
 from seqloom.operators import swipe as sw
 from seqloom.operators import words as wd
+from seqloom.operators.checks import graph_checks
 from seqloom.operators.chains import retrace_chains, trace_chains
+from seqloom.operators.correction import correct_reads
 from seqloom.operators.forest import spanning_forest
 from seqloom.storage import Scratch
 
@@ -25,26 +27,34 @@ from seqloom.storage import Scratch
 DEFAULT_LENGTH = 17
 
 
-def correct_reads(reads: DataFrame) -> DataFrame:
-    """Hook for error correction; reads pass through unchanged."""
-    return reads
-
-
 @dataclass
 class Assembly:
     """Stages of one assembly, computed on first use and kept as written tables."""
 
     reads: DataFrame  # read_id, seq
     length: int = DEFAULT_LENGTH
+    # Word length of the error correction; without it reads are taken as they are.
+    ec_tuple_size: int | None = None
+    max_ec_pos: int = 4
     scratch: Scratch = field(default=None)  # type: ignore[assignment]
 
     def __post_init__(self) -> None:
         if self.scratch is None:
             self.scratch = Scratch(self.reads.sparkSession, "assembly")
 
+    @cached_property
+    def corrected(self) -> DataFrame:
+        if self.ec_tuple_size is None:
+            return self.reads
+        steps = Scratch(self.reads.sparkSession, "correction")
+        done = correct_reads(self.reads, self.ec_tuple_size, max_positions=self.max_ec_pos, scratch=steps)
+        done = self.scratch.write(done, keep=True)
+        steps.drop_all(kept=True)
+        return done
+
     @cached_property
     def counts(self) -> DataFrame:
-        return wd.word_counts(correct_reads(self.reads), self.length)
+        return wd.word_counts(self.corrected, self.length)
 
     @cached_property
     def graph(self) -> g.Graph:
@@ -115,6 +125,21 @@ class Assembly:
         lmers = g.unroll(self.graph.arcs, g.edge_id().alias("eid"), "lmer")
         return ct.contig_parts(self.merged_chains, lmers, self.length)
 
+    def cycle_contigs(self) -> DataFrame:
+        """(contig, part, seq, bases) of the cycles, which have no start of their own."""
+        lmers = g.unroll(self.graph.arcs, g.edge_id().alias("eid"), "lmer")
+        steps = Scratch(self.reads.sparkSession, "cycles")
+        done = self.scratch.write(ct.cycle_parts(self.merged_chains, lmers, steps), keep=True)
+        steps.drop_all()
+        return done
+
+    def checks(self) -> DataFrame:
+        """(check, value, bad, first): whether the tables of the graph agree with each other."""
+        steps = Scratch(self.reads.sparkSession, "checks")
+        done = graph_checks(self.graph.words, self.graph.vertices, self.edges(), steps)
+        steps.drop_all()
+        return done
+
     def contig_lengths(self) -> DataFrame:
         return ct.contig_lengths(self.merged_chains, self.length)
 
