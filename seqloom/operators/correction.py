@@ -52,29 +52,27 @@ def proposals(runs: DataFrame, length: int) -> DataFrame:
     """(read_id, place, low, high): bases that may be wrong and the windows that only they make weak.
 
     A single wrong base has its last window beginning at the base itself and its first one length - 1
-    before it, as far as the read goes. In a longer run the first and the last wrong base are proposed,
-    each with the windows that the other cannot reach.
+    before it. A shorter run ends with the read, or where a wrong word happens to occur elsewhere: the
+    base is then told by its other end, so both are proposed. In a longer run the first and the last
+    wrong base are proposed, each with the windows that the other cannot reach.
     """
     size = F.col("last") - F.col("first") + 1
-    at_begin, at_end = F.col("first") == 0, F.col("last") == F.col("windows") - 1
     early, late = F.col("first") + length - 1, F.col("last")
     span = F.lit(length)
     one = lambda place, low, high: F.struct(
         place.cast("long").alias("place"), low.cast("long").alias("low"), high.cast("long").alias("high")
     )
-    whole = F.array(one(late, F.col("first"), F.col("last")))
-    cut_left = F.array(one(late, F.col("first"), F.col("last")))
-    cut_right = F.array(one(early, F.col("first"), F.col("last")))
+    own = one(late, F.col("first"), F.col("last"))
     two = F.array(
         one(early, F.col("first"), F.least(F.col("first") + length - 1, F.col("last") - length)),
         one(late, F.greatest(F.col("last") - length + 1, F.col("first") + length), F.col("last")),
     )
     made = (
-        F.when(size == span, whole)
-        .when((size < span) & at_begin, cut_left)
-        .when((size < span) & at_end, cut_right)
-        .when(size > span, two)
+        F.when(size == span, F.array(own))
+        .when(size < span, F.array(own, one(early, F.col("first"), F.col("last"))))
+        .otherwise(two)
     )
+    made = F.filter(made, lambda p: p["place"] < F.col("windows") + length - 1)
     return runs.select("read_id", F.explode(made).alias("p")).select("read_id", "p.*").distinct()
 
 
