@@ -24,6 +24,7 @@ from seqloom.llm.common import stored
 
 VERSION = "WARC/1.1"
 END = "\r\n"
+DATE = "2026-01-01T00:00:00Z"
 HTTP_HEAD = (
     "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 )
@@ -39,36 +40,35 @@ def _text(x: Column) -> Column:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload an earlier page has.
+    """(page_id, digest, refers_to, refers_uri) of pages whose payload an earlier page has.
 
-    `pages` has page_id, payload. Payloads under `min_bytes` bytes are never revisits. Of equal
-    payloads (by length and SHA-256) the smallest page_id is the response.
+    `pages` has page_id, url, payload. Payloads under `min_bytes` bytes are never revisits. Of equal
+    payloads (by SHA-256) the smallest page_id is the response. A page_id may repeat with
+    several payloads, each of which is judged on its own.
     """
     long = pages.filter((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull())
-    keys = long.select("page_id", F.sha2("payload", 256).alias("digest"))
-    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
-    firsts = firsts.filter(F.col("last") > F.col("refers_to")).drop("last")
+    keys = long.select("page_id", "url", F.sha2("payload", 256).alias("digest"))
+    firsts = keys.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"))
+    firsts = firsts.filter(F.col("last") > F.col("first.page_id")).select(
+        "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_uri")
+    )
     return (
-        keys.join(firsts, "digest")
+        keys.select("page_id", "digest").join(firsts, "digest")
         .filter(F.col("page_id") > F.col("refers_to"))
-        .select("page_id", "refers_to")
+        .select("page_id", "digest", "refers_to", "refers_uri")
         .distinct()
-    )
+    )
 
 
-def records(pages: DataFrame, repeats: DataFrame, segment_bytes: int = 32_768, chunk_bytes: int = 8_192,
-            min_bytes: int = 100) -> DataFrame:
+def records(pages: DataFrame, repeats: DataFrame, segment_bytes: int = 32_768, chunk_bytes: int = 8_192) -> DataFrame:
     """One row `value` per record, a whole record without its terminator.
 
-    `pages` has page_id, url, payload; `repeats` comes from `revisits`. A page that occurs twice with
-    one id is looked up by id and length class only, so its payload decides if it may be a revisit.
+    `pages` has page_id, url, payload; `repeats` comes from `revisits`. A page is looked up by id and
+    payload, as an id may repeat with another payload.
     """
-    rows = pages.join(repeats, "page_id", "left").withColumn(
-        "refers_to", F.when(F.octet_length("payload") >= min_bytes, F.col("refers_to"))
-    )
+    rows = pages.withColumn("digest", F.sha2("payload", 256)).join(repeats, ["page_id", "digest"], "left")
     rows = rows.withColumns(
         {
-            "digest": F.sha2("payload", 256),
             "record_id": F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")),
             "n_bytes": F.octet_length("payload").cast("long"),
         }
@@ -101,6 +101,7 @@ def records(pages: DataFrame, repeats: DataFrame, segment_bytes: int = 32_768, c
         F.lit(True) if when is None else when,
         F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END)),
     )
+    one_line = lambda uri: F.regexp_replace(uri, "[\r\n]", " ")
     kind = F.when(~first, "continuation").when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
     own = F.when(first, F.col("record_id")).otherwise(
         F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))
@@ -111,10 +112,12 @@ def records(pages: DataFrame, repeats: DataFrame, segment_bytes: int = 32_768, c
         F.lit(VERSION + END),
         line("WARC-Type", kind),
         line("WARC-Record-ID", own),
-        line("WARC-Date", F.lit("2026-01-01T00:00:00Z")),
-        line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", " "), first & F.col("url").isNotNull()),
+        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Target-URI", one_line("url"), first & F.col("url").isNotNull()),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")), first),
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), revisit),
+        line("WARC-Refers-To-Target-URI", one_line("refers_uri"), revisit & F.col("refers_uri").isNotNull()),
+        line("WARC-Refers-To-Date", F.lit(DATE), revisit),
         line("WARC-Refers-To-Page", F.col("refers_to"), revisit),
         line("WARC-Page-ID", F.col("page_id"), first & F.col("page_id").isNotNull()),
         line("WARC-Page-Bytes", F.col("n_bytes"), first),
@@ -311,5 +314,5 @@ def archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "u
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     )
     repeats = stored(revisits(rows, min_bytes), "revisits")
-    write_archives(records(rows, repeats, min_bytes=min_bytes, **sizes), path)
+    write_archives(records(rows, repeats, **sizes), path)
     return payloads(reassembled(segments(pages.sparkSession, path)))

@@ -357,6 +357,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(frame.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_of_repeated_ids(spark, tmp_path):
+    """An id that repeats with another payload: each payload is stored, or refers to its own copy."""
+    a, b, c = "a" * 200, "b" * 200, "c" * 200
+    pages = [(1, "u1", a), (2, "u2", a), (2, "u2", b), (2, "u2", c), (3, "u3", b), (3, "u3", a), (3, "u3", a)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = warc.archive(frame, str(tmp_path / "w")).collect()
+    kept = {(r.page_id, bytes(r.payload).decode()) for r in got if r.kind == "response"}
+    assert kept == {(1, a), (2, b), (2, c)}
+    digest = {hashlib.sha256(x.encode()).hexdigest(): x for x in (a, b, c)}
+    assert sorted((r.page_id, digest[r.digest], r.refers_to) for r in got if r.kind == "revisit") == [
+        (2, a, 1), (3, a, 1), (3, a, 1), (3, b, 2)
+    ]
+    import gzip
+
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    assert raw.count(b"WARC-Refers-To-Target-URI: u1\r\n") == 3 and raw.count(b"WARC-Refers-To-Date: ") == 4
+
+
 def test_urls(spark):
     pages = [(1, "http://WWW.Example.org/es/1?x=/en/", None), (2, "https://example.org/en/12", None), (3, "http://a.com/fr/#/de/", None),
              (4, "http://com/de/", None), (5, "no host", True), (6, None, None), (7, "http://notexample.org/es/", None), (8, "http://b.net", None)]
