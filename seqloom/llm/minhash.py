@@ -5,8 +5,9 @@
    stays; an empty bin copies the bin that a hash of (its number, attempt) names, attempt by attempt,
    until that one is not empty.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Documents that share a band hash form a bucket. A bucket makes a star: its smallest id with each
-   other member, so pairs grow with the members and not with their square.
+3. Documents that share a band hash form a bucket. A bucket makes a star: the member that meets most
+   others in its buckets with each other member, so pairs grow with the members and not with their
+   square. Copies changed at random places meet the text they come from most, so that is the centre.
 4. Candidate pairs that sizes do not rule out are confirmed on the full sets.
 5. A star can lose a link between two members that are not linked with its centre. So buckets in
    which members of different components remain stay open. For their members the shingles are
@@ -228,16 +229,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = firsts.select(
         F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")
     )
-    shared = members.groupBy("key").agg(
-        F.min(F.struct(F.col("doc").alias("c"), F.col("n").alias("nc"))).alias("first"),
-        F.count(F.lit(1)).alias("size"),
-    )
-    shared = shared.filter("size > 1").select("key", "first.*")
-    buckets = scratch.write(members.join(shared, "key"))
+    # A document's support is the number of others in its buckets. Copies that were changed at random
+    # places share most with the text they come from, so this is what a bucket has as its centre.
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = scratch.write(members.join(sizes, "key"))
+    support = shared.groupBy("doc").agg(F.sum("size").alias("support"))
+    ranked = shared.join(support, "doc").select("key", "doc", "n", "support")
+    best = F.max(F.struct("support", (-F.col("doc")).alias("last"), "n")).alias("best")
+    centre = ranked.groupBy("key").agg(best).select("key", (-F.col("best.last")).alias("c"), F.col("best.n").alias("nc"))
+    buckets = scratch.write(ranked.join(centre, "key"))
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     pairs = (
         buckets.filter((F.col("c") != F.col("doc")) & fits(F.col("n"), F.col("nc")))
-        .select(F.col("c").alias("a"), F.col("doc").alias("b"))
+        .select(F.least("c", "doc").alias("a"), F.greatest("c", "doc").alias("b"))
         .distinct()
     )
     tested = scratch.write(pairs)
@@ -248,11 +252,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         )
     )
     names = scratch.write(connected(scratch.write(confirmed(tested, texts, width, percent))))
-    alive = buckets.select("key", "doc", "n", "c", F.col("n").alias("s"))
+    alive = buckets.select("key", "doc", "n", "support", "c", F.col("n").alias("s"))
     pruned, low, high = False, 1, 4
     while True:
         named = alive.join(names.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", "n", "c", "s", F.coalesce("label", "doc").alias("label")
+            "key", "doc", "n", "support", "c", "s", F.coalesce("label", "doc").alias("label")
         )
         mixed = named.groupBy("key").agg(
             F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size")
@@ -266,11 +270,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             own = scratch.write(private_counts(scratch.write(asking), texts, width, scratch))
             alive = opened.join(own, "doc", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
             alive = scratch.write(
-                alive.filter(100 * F.col("s") >= percent * F.col("n")).select("key", "doc", "n", "c", "s")
+                alive.filter(100 * F.col("s") >= percent * F.col("n")).select("key", "doc", "n", "support", "c", "s")
             )
             pruned, low, high = True, 0, 3
             continue
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("support"), "doc"))
         # A limit on the rank lets Spark cut each bucket before it is shuffled.
         centres = opened.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)
         centres = centres.select(
@@ -279,9 +283,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         both = F.least("s", "sa")
         pairs = (
             opened.join(centres, "key")
-            .filter((F.col("doc") > F.col("a")) & (F.col("label") != F.col("la")))
+            .filter(F.col("label") != F.col("la"))
             .filter(100 * both >= percent * (F.col("n") + F.col("na") - both))
-            .select("a", F.col("doc").alias("b"))
+            .select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
