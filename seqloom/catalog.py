@@ -21,7 +21,7 @@ from seqloom.operators.components import connected_components, degree_two_compon
 from seqloom.operators.scan import dense_index, following, row_numbers, scan, segmented_scan
 from seqloom.operators.suffixes import suffix_array
 from seqloom.plans.assembly import DEFAULT_LENGTH, Assembly
-from seqloom.sources import dumps, fastq
+from seqloom.sources import dumps, fastq, fastq_source
 from seqloom.storage import Scratch, materialize
 from seqloom.streaming.counts import start_word_counts, total_counts
 
@@ -165,6 +165,44 @@ def fastq_reads(spark, sf):
     return back.groupBy(F.length("seq").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("reads"))
 
 
+def _fastq_turns(spark, sf) -> str:
+    """Folder of the conversation turns as FASTQ, named by conversation and turn."""
+    rows = table(spark, sf, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("name"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", "N").alias("seq"),
+    )
+    place = f"{scratch(spark, 'fastq').base}/named"
+    fastq.write_fastq(rows, place, "name", "seq")
+    fastq_source.register(spark)
+    return place
+
+
+def _digests(back: DataFrame) -> DataFrame:
+    return back.select(
+        F.expr("substring(name, 2)").alias("name"),
+        F.md5(F.encode("seq", "UTF-8")).alias("seq_md5"),
+        F.length("quality").cast("long").alias("n"),
+    )
+
+
+@query
+def fastq_source_scan(spark, sf):
+    """Conversation turns through the FASTQ data source, in ranges of 100,000 bytes."""
+    place = _fastq_turns(spark, sf)
+    return _digests(spark.read.format("fastq").option("splitBytes", 100_000).load(place))
+
+
+@query
+def fastq_source_stream(spark, sf):
+    """The same files as a stream, its rows stored by a query that ends when all files are read."""
+    place = _fastq_turns(spark, sf)
+    out = scratch(spark, "fastq-stream").base
+    rows = spark.readStream.format("fastq").option("splitBytes", 100_000).load(place)
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/progress")
+    writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return _digests(spark.read.schema(rows.schema).parquet(f"{out}/rows"))
+
+
 @query
 def stream_word_counts(spark, sf):
     """Counts of a stream over the documents file, summed over its batches."""

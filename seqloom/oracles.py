@@ -250,6 +250,10 @@ def oracles() -> dict[str, str]:
     sql["fastq_reads"] = (
         f"SELECT length({LINE}) AS n, count(*) AS reads FROM conversations GROUP BY 1"
     )
+    for name in ("fastq_source_scan", "fastq_source_stream"):
+        sql[name] = (
+            f"SELECT conv_id || ':' || turn AS name, md5({LINE}) AS seq_md5, length({LINE}) AS n FROM conversations"
+        )
     sql["vertex_base_counts"] = _with(
         counted(*D7) + ENDS,
         f"SELECT kmer, {_slots('lc', 'l', 'base')}, {_slots('ec', 'e', 'base')} FROM ends GROUP BY kmer",
