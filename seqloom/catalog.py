@@ -18,6 +18,7 @@ from seqloom.operators import primitives as pr
 from seqloom.operators import words as wd
 from seqloom.operators.correction import correct_reads
 from seqloom.operators.components import connected_components, degree_two_components
+from seqloom.operators.exact import reduce_product, scan_floats, scan_products
 from seqloom.operators.scan import dense_index, following, row_numbers, scan, segmented_scan
 from seqloom.operators.suffixes import suffix_array
 from seqloom.plans.assembly import DEFAULT_LENGTH, Assembly
@@ -492,6 +493,28 @@ def scan_multiply(spark, sf):
     return scan(_events(spark, sf), "sign", ORDER, "multiply", inclusive=True).select("event_id", "scan")
 
 
+@query
+def scan_product(spark, sf):
+    """Products of factors 2 to 5 per user, wrapped to 64 bits."""
+    rows = _events(spark, sf).withColumn("factor", F.pmod("event_id", F.lit(4)) + 2)
+    done = scan_products(rows, "factor", ORDER, inclusive=True, partition_by=["user_id"])
+    return done.select("event_id", "user_id", "scan")
+
+
+@query
+def scan_float(spark, sf):
+    """Running sum of the event values as floats, which does not depend on the buckets."""
+    rows = table(spark, sf, "events").select("event_id", "ts", F.col("value").cast("double").alias("value"))
+    done = scan_floats(rows, "value", ORDER, inclusive=True)
+    return done.select("event_id", F.round("scan", 4).alias("scan"))
+
+
+@query
+def reduce_wrapped(spark, sf):
+    """Product of all order keys that are odd, modulo 2^64."""
+    return reduce_product(table(spark, sf, "orders").filter("o_orderkey % 2 = 1"), "o_orderkey")
+
+
 @query
 def scan_multi(spark, sf):
     """One independent scan per user."""

@@ -236,11 +236,11 @@ def successor_links(graph: Graph) -> DataFrame:
 
 
 def unpaired_starts(graph: Graph) -> DataFrame:
-    """Edges without a predecessor, straight from the ranges: only such copies are unrolled."""
-    entering = F.col("pc0") + F.col("pc1") + F.col("pc2") + F.col("pc3")
-    first = F.greatest(entering - F.col("q0"), F.lit(0))
-    rest = graph.arcs.where(first < F.col("cnt")).select(
-        (F.col("eid0") + first).alias("eid0"), (F.col("cnt") - first).alias("cnt")
+    """Edges without a predecessor, straight from the slots: at a vertex these are the leaving edges
+    behind the last entering one, one range of ids."""
+    entering, leaving = _total("ec"), _total("lc")
+    rest = graph.slots.where(leaving > entering).select(
+        (F.col("lstart") + entering).alias("eid0"), (leaving - entering).alias("cnt")
     )
     return unroll(rest, edge_id().alias("eid"))
 

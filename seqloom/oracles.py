@@ -279,7 +279,15 @@ def oracles() -> dict[str, str]:
         "SELECT s.eid // 4096 AS block, CAST(sum(s.s) AS BIGINT) AS sum_s, CAST(sum(p.p) AS BIGINT) AS sum_p, count(s.s) AS paired "
         "FROM s JOIN p ON s.eid = p.eid GROUP BY 1",
     )
-    sql["contig_start"] = _with(edge_table(*D17), "SELECT eid FROM p WHERE p IS NULL")
+    mask17 = 4 ** (DEFAULT_LENGTH - 1)
+    sql["contig_start"] = _with(
+        counted(*D17)
+        + ", offs AS (SELECT lmer, cnt, CAST(sum(cnt) OVER (ORDER BY lmer) - cnt AS BIGINT) AS eid0 FROM cnts)"
+        ", raw AS (SELECT lmer // 4 AS kmer, eid0 + unnest(range(cnt)) AS eid FROM offs)"
+        ", out AS (SELECT kmer, eid, row_number() OVER (PARTITION BY kmer ORDER BY eid) - 1 AS place FROM raw)"
+        f", inn AS (SELECT lmer % {mask17} AS kmer, sum(cnt) AS n FROM cnts GROUP BY 1)",
+        "SELECT eid FROM out LEFT JOIN inn USING (kmer) WHERE place >= coalesce(n, 0)",
+    )
     sql["components"] = _with(labelled(*U9, ROUNDS), "SELECT eid, label FROM lab")
     sql["component_sizes"] = _with(
         labelled(*T17, ROUNDS),
@@ -384,6 +392,16 @@ def oracles() -> dict[str, str]:
     sql["scan_min"] = _scan(f"min(cents) OVER ({FORTH} {BEFORE})")
     sql["scan_max"] = _scan(f"max(cents) OVER ({BACK} {UP_TO})")
     sql["scan_multiply"] = _scan(f"product(sign) OVER ({FORTH} {UP_TO})")
+    wrap = "lambda a, b: (a * b) % CAST(18446744073709551616 AS HUGEINT)"
+    signed = "CAST(CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END AS BIGINT)"
+    sql["scan_product"] = (
+        f"SELECT event_id, user_id, {signed} AS scan FROM (SELECT event_id, user_id, list_reduce(list(CAST(event_id % 4 + 2 AS HUGEINT)) "
+        f"OVER (PARTITION BY user_id {FORTH} {UP_TO}), {wrap}) AS p FROM events)"
+    )
+    sql["scan_float"] = f"SELECT event_id, round(sum(CAST(value AS DOUBLE)) OVER ({FORTH} {UP_TO}), 4) AS scan FROM events"
+    sql["reduce_wrapped"] = (
+        f"SELECT {signed} AS product FROM (SELECT list_reduce(list(CAST(o_orderkey AS HUGEINT)), {wrap}) AS p FROM orders WHERE o_orderkey % 2 = 1)"
+    )
     sql["scan_multi"] = _scan(
         f"CAST(coalesce(sum(cents) OVER (PARTITION BY user_id {FORTH} {BEFORE}), 0) AS BIGINT)",
         cols="event_id, user_id",
