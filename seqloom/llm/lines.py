@@ -190,19 +190,26 @@ def within(a: str | list[str], b: str | list[str], edits: int) -> bool:
     a, b, m, n = a[first:m], b[first:n], m - first, n - first
     if not m:
         return n <= edits
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
     window = (1 << 2 * edits + 1) - 1
     middle = 1 << edits
+    # Per character (or word) its places in the window of rows; a row enters at the top and leaves below.
+    places: dict[str, int] = {}
+    for i in range(min(edits, m)):
+        places[a[i]] = places.get(a[i], 0) | 1 << (i + edits + 1)
     up = (window >> edits + 1) << edits + 1  # rows 1 to `edits` of column 0, seen from column 0
     down = 0
     score = 0
     for j, c in enumerate(b, 1):
         up, down = up >> 1 | 1 << 2 * edits, down >> 1
-        shift = j - 1 - edits
-        p = places.get(c, 0)
-        match = (p >> shift if shift >= 0 else p << -shift) & window
+        # At most 2 * edits + 1 rows are in the window, so masks are as short as it.
+        for k in places:
+            places[k] >>= 1
+        entering = j - 1 + edits
+        if entering < m:
+            places[a[entering]] = places.get(a[entering], 0) | 1 << 2 * edits
+        if len(places) > 4 * edits + 4:
+            places = {k: p for k, p in places.items() if p}
+        match = places.get(c, 0) & window
         flat = ((((match & up) + up) ^ up) | match | down) & window
         right_up = (down | ~(flat | up)) & window
         right_down = flat & up
@@ -234,13 +241,14 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: str = "doc_id",
-                 text: str = "text", short: bool = True) -> tuple[DataFrame, DataFrame]:
+                 text: str = "text", short: bool = True, all_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (k1, k2, copies, first, n_links, class_first) and the links (a, b) between them.
 
     `first` and `class_first` are (doc_id, line_no). Links are found between first hashes: two lines
     that share a 64-bit hash but not the second one are one node, and only of the class table are
     they told apart. Lines under `min_chars` characters have no links; without `short` they take no
-    part, as nulls and blank lines never do.
+    part, as nulls and blank lines never do. Without `all_links` only as many links are found as the classes need:
+    the classes are the same, and n_links counts these.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = lines_of(docs, 1 if short else min_chars, doc_id, text)
@@ -256,10 +264,10 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: s
         .dropDuplicates(["doc_id", "line_no", "k1", "k2"])
         .select("k1", "line")
     )
-    met = met_pairs(scratch, firsts, edits)
-    ends = met.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    texts = scratch.write(firsts.join(ends, "k1", "left_semi"))
-    links = stored(verified(met, texts, edits), "line-links")
+    if all_links:
+        links = stored(checked(scratch, firsts, met_pairs(scratch, firsts, edits), edits), "line-links")
+    else:
+        links = stored(star_links(scratch, firsts, edits), "line-links")
     names = connected(links)
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("k1")).groupBy("k1").agg(F.count(F.lit(1)).alias("n_links"))
@@ -277,6 +285,67 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: s
     return classes, links
 
 
+def checked(scratch: Scratch, firsts: DataFrame, met: DataFrame, edits: int) -> DataFrame:
+    """The pairs of the written table `met` that are links; only texts of their lines are moved."""
+    ends = met.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    texts = scratch.write(firsts.join(ends, "k1", "left_semi"))
+    return verified(met, texts, edits)
+
+
+def probes(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
+    """(words, key, k1, odd, room): keys of both kinds; `room` is how many parities of a partner may differ."""
+    chars = keyed(firsts, edits, asked).select(
+        F.lit(False).alias("words"), "key", "k1",
+        F.col("odd").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("odd"), F.lit(2 * edits).alias("room"),
+    )
+    band = F.floor(F.log2(F.floor(F.col("n") / 25) + F.lit(1e-9)))  # see `word_edits`
+    room = (2 * F.greatest(F.lit(1), 2 * band)).cast("int")
+    return chars.unionByName(
+        word_keyed(firsts, asked).select(F.lit(True).alias("words"), "key", "k1", "odd", room.alias("room"))
+    )
+
+
+def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links, without all pairs of a group of near copies.
+
+    Every key makes a star: the first line stored under it with all that ask for it. Then the stored line
+    with most links so far takes its place; copies changed at random places are linked with the line they
+    come from, which is within reach of more centres than any of them. Only lines that still are in
+    different components are compared pair by pair, under keys where several lines are stored.
+    """
+    key = ["words", "key"]
+    line = F.struct("k1", "odd", "room")
+    own = probes(firsts, edits, False)
+    stars = own.groupBy(*key).agg(F.min(line).alias("c"), F.count(F.lit(1)).alias("size"))
+    fits = lambda c: (F.col(f"{c}.k1") != F.col("k1")) & (
+        F.bit_count(F.col("odd").bitwiseXOR(F.col(f"{c}.odd"))) <= F.least("room", f"{c}.room")
+    )
+    pair = lambda c: (F.least("k1", f"{c}.k1").alias("a"), F.greatest("k1", f"{c}.k1").alias("b"))
+    met = probes(firsts, edits, True).join(stars, key).filter((F.col("size") > 1) | fits("c"))
+    met = scratch.write(met)
+    tested = scratch.write(met.filter(fits("c")).select(*pair("c")).distinct())
+    links = scratch.write(checked(scratch, firsts, tested, edits))
+    several = met.filter("size > 1").select(*key, "k1", "odd", "room")
+    # Written, as it is asked twice; keys with one stored line are done.
+    held = scratch.write(own.join(several.select(*key).distinct(), key, "left_semi"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("k1")).groupBy("k1").agg(F.count(F.lit(1)).alias("links"))
+    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "k1", "odd", "room")).alias("c")
+    hubs = held.join(degree, "k1", "left").groupBy(*key).agg(best)
+    second = several.join(hubs, key).filter(fits("c")).select(*pair("c")).distinct()
+    second = scratch.write(second.join(tested, ["a", "b"], "left_anti"))
+    tested = tested.unionByName(second)
+    links = scratch.write(links.unionByName(checked(scratch, firsts, second, edits)))
+    names = connected(links).withColumnRenamed("node", "k1")
+    labelled = lambda rows: rows.join(names, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
+    asking, holding = scratch.write(labelled(several)), scratch.write(labelled(held))
+    ends = asking.select(*key, "label").unionByName(holding.select(*key, "label"))
+    mixed = ends.groupBy(*key).agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select(*key)
+    holding = holding.join(mixed, key, "left_semi").select(*key, F.struct("k1", "odd", "room", "label").alias("c"))
+    apart = asking.join(mixed, key, "left_semi").join(holding, key).filter((F.col("label") != F.col("c.label")) & fits("c"))
+    apart = scratch.write(apart.select(*pair("c")).distinct().join(tested, ["a", "b"], "left_anti"))
+    return links.unionByName(checked(scratch, firsts, apart, edits))
+
+
 def met_pairs(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of lines that meet under a hash and whose parities allow a link.
 
@@ -299,14 +368,14 @@ def met_pairs(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
 
 
 def line_report(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: str = "doc_id",
-                text: str = "text", short: bool = True) -> DataFrame:
+                text: str = "text", short: bool = True, all_links: bool = True) -> DataFrame:
     """One row per line that takes part: doc_id, line_no, class_doc, class_line, n_links, kept.
 
     n_links counts the other distinct lines linked to it; kept is true where the class has its
     first occurrence (smallest doc_id, then line_no). Rows that repeat a doc_id have the same places
     and are treated alike. Empty tables give an empty result.
     """
-    classes, _ = line_classes(docs, edits, min_chars, doc_id, text, short)
+    classes, _ = line_classes(docs, edits, min_chars, doc_id, text, short, all_links)
     lines = lines_of(docs, 1 if short else min_chars, doc_id, text).drop("line")
     return lines.join(classes, ["k1", "k2"]).select(
         "doc_id", "line_no",
@@ -321,14 +390,16 @@ def without_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40,
     """`docs` with every line taken out that is not the first of its class; all columns stay.
 
     Lines under `min_chars` characters go only with `short`. Documents that lose all their words go; rows that had none before, or no doc_id, stay.
+    Columns may have any names: each row travels as one value.
     """
-    gone = line_report(docs, edits, min_chars, doc_id, text, short).filter("not kept")
-    by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(by_doc, F.col(doc_id).cast("long") == F.col("_doc"), "left").withColumn(
-        "_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n"))
+    report = line_report(docs, edits, min_chars, doc_id, text, short, all_links=False)
+    by_doc = report.filter("not kept").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("own_id"), F.col(text).alias("old"))
+    rows = rows.join(by_doc, F.col("own_id") == F.col("doc"), "left").withColumn(
+        "parts", F.when(F.col("gone").isNotNull(), F.split("old", "\n"))
     )
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text)))
-    rows = rows.filter(F.col("_gone").isNull() | (F.length(F.btrim("_text", F.lit(BLANKS))) > 0))
-    return rows.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
+    rows = rows.withColumn("new", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("old")))
+    rows = rows.filter(F.col("gone").isNull() | (F.length(F.btrim("new", F.lit(BLANKS))) > 0))
+    return rows.select(*[F.col("new").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
