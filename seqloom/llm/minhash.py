@@ -278,12 +278,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         # A limit on the rank lets Spark cut each bucket before it is shuffled.
         centres = opened.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)
         centres = centres.select(
-            "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la")
-        )
+            "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"),
+            F.col("support").alias("ta"),
+        )
         both = F.least("s", "sa")
         pairs = (
             opened.join(centres, "key")
             .filter(F.col("label") != F.col("la"))
+            # Each pair once: members behind the centre in the order of centres.
+            .filter((F.col("support") < F.col("ta")) | ((F.col("support") == F.col("ta")) & (F.col("doc") > F.col("a"))))
             .filter(100 * both >= percent * (F.col("n") + F.col("na") - both))
             .select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
             .distinct()
