@@ -1,12 +1,11 @@
-"""Hash index views: bucket layout, histogram, offsets and probes.
+"""Hash index views: probes, slots and values under repeated keys.
 
-Probing is an equi-join; Spark's own hashing does the work of the tables. The bucket layout is kept
-as a DataFrame for inspection and for callers that need slots and offsets.
+Probing is an equi-join; Spark's own hashing does the work of the tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import hashing as h
@@ -14,30 +13,6 @@ from seqloom.operators.scan import dense_index, repeat_rows, scan_columns
 from seqloom.storage import lookup, materialize
 
 
-def build_index(df: DataFrame, key: str, value: str, keys: int | None = None) -> DataFrame:
-    """(bucket, slot, key, value) for unique keys; slot is the rank of the key in its bucket."""
-    buckets = h.bucket_count(df.count() if keys is None else keys)
-    rows = df.select(
-        h.bucket_hash(F.col(key), buckets).alias("bucket"),
-        F.col(key).cast("long").alias("key"),
-        F.col(value).alias("value"),
-    )
-    # Unsigned order, as keys are bit patterns.
-    in_bucket = Window.partitionBy("bucket").orderBy((F.col("key") < 0), "key")
-    return rows.select(
-        "bucket", (F.row_number().over(in_bucket) - 1).cast("long").alias("slot"), "key", "value"
-    )
-
-
-def bucket_histogram(df: DataFrame, key: str, keys: int | None = None) -> DataFrame:
-    """(bucket, size, offset): keys per bucket and the exclusive sum of the sizes before it."""
-    buckets = h.bucket_count(df.count() if keys is None else keys)
-    sizes = df.groupBy(h.bucket_hash(F.col(key), buckets).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("size")
-    )
-    return scan_columns(materialize(sizes, "sizes"), {"offset": "size"}, ["bucket"])
-
-
 def probe(
     requests: DataFrame, request_key: str, index: DataFrame, miss_value: int | None = None
 ) -> DataFrame:

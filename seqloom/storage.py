@@ -28,7 +28,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="seqloom-")
     spark.conf.set(CHECKPOINT_CONF, root)
