@@ -14,6 +14,9 @@
    counted that no member of another component has: these are in no intersection, so members with
    too many of them, and pairs whose other shingles are too few, cannot be links. This bound is
    exact and leaves out the far relatives of a large group, each of which would meet all others.
+   Two members of one centre that are not linked with it need common shingles which the centre lacks;
+   the rarest of these are joined (prefix filtering, exact), and all other such pairs are ruled out by
+   what each has in common with the centre.
 6. What is left of open buckets goes on with further centres (three, then twelve, and so on),
    against members of other components only, until every bucket is in one component or every
    member has been a centre. No bucket is capped.
@@ -170,12 +173,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return joined.mapInPandas(check, "a long, b long").distinct()
 
 
-def private_counts(asking: DataFrame, texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(doc, own): shingles of a document that no document of `asking` with another label has.
+def apart_from_centres(asking: DataFrame, texts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(doc, label, c, central, h): per document of `asking` (doc, label, c) the shingles that its c lacks.
 
-    `asking` has (doc, label, c), c being a document of a shared bucket. A document sends on only
-    the shingles that its c lacks. Each c sends its whole set once, and what any c has is taken as
-    shared, so `own` may be too small but never too large.
+    Each c sends its whole set once, as rows with `central`.
     """
 
     def differing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,18 +188,28 @@ def private_counts(asking: DataFrame, texts: DataFrame, width: int, scratch: Scr
                 if tc != known:
                     known, s = tc, shingles(tc)
                 rest.append(np.setdiff1d(shingles(td), s, assume_unique=True).view(np.int64))
-            yield batch[["doc", "label", "central"]].assign(h=rest)
+            yield batch[["doc", "label", "c", "central"]].assign(h=rest)
 
     body = texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("td"))
     of_c = texts.select(F.col("doc_id").alias("c"), F.col("text").alias("tc"))
     rests = asking.filter("doc != c").join(body, "doc").join(of_c, "c").select(
-        "doc", "label", F.lit(False).alias("central"), "td", "tc"
+        "doc", "label", "c", F.lit(False).alias("central"), "td", "tc"
     )
     wholes = asking.select(F.col("c").alias("doc")).distinct().join(body, "doc").select(
-        "doc", F.col("doc").alias("label"), F.lit(True).alias("central"), "td", F.lit("").cast("binary").alias("tc")
+        "doc", F.col("doc").alias("label"), F.col("doc").alias("c"), F.lit(True).alias("central"), "td",
+        F.lit("").cast("binary").alias("tc"),
+    )
+    made = rests.unionByName(wholes).mapInPandas(
+        differing, "doc long, label long, c long, central boolean, h array<long>"
     )
-    made = rests.unionByName(wholes).mapInPandas(differing, "doc long, label long, central boolean, h array<long>")
-    rows = scratch.write(made.select("doc", "label", "central", F.explode("h").alias("h")))
+    return scratch.write(made.select("doc", "label", "c", "central", F.explode("h").alias("h")))
+
+
+def private_counts(rows: DataFrame) -> DataFrame:
+    """(doc, own): shingles of a document that no document with another label has, from `apart_from_centres`.
+
+    What any c has is taken as shared, so `own` may be too small but never too large.
+    """
     held = rows.groupBy("h").agg(
         F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("central").alias("central")
     )
@@ -206,6 +217,37 @@ def private_counts(asking: DataFrame, texts: DataFrame, width: int, scratch: Scr
     return rows.filter("not central").join(private, "h").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
 
 
+def sharing_new(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents with one centre and other labels that share new shingles enough for a link.
+
+    `rows` comes from `apart_from_centres`, `sizes` has (doc, n, held): the size of a set and how much of
+    it the centre has. Two sets have at most the smaller `held` and their common new shingles in
+    common, so a link needs a certain number of the latter. Two sets with so many in common share one
+    of their rarest, all but that number less one (prefix filtering); only these are joined.
+    """
+    new = rows.filter("not central").select("doc", "label", "c", "h").join(sizes, "doc")
+    low = sizes.join(rows.select("doc", "c").distinct(), "doc").groupBy("c").agg(F.min("n").alias("low"))
+    often = new.groupBy("c", "h").agg(F.count(F.lit(1)).alias("often"))
+    # The smallest partner is the smallest set with this centre, or what the limit leaves of the own size.
+    partner = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    need = F.greatest(F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("held"), F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("often", "h"))
+    rare = (
+        new.join(often, ["c", "h"]).join(low, "c").withColumns({"need": need, "rank": rank})
+        .filter((F.col("rank") <= F.col("n") - F.col("held") - F.col("need") + 1) & (F.col("often") > 1))
+        .select("c", "h", "doc", "label", "n", "held")
+    )
+    other = rare.select("c", "h", *[F.col(x).alias(f"{x}_") for x in ("doc", "label", "n", "held")])
+    most = F.least("held", "held_") + F.least(F.col("n") - F.col("held"), F.col("n_") - F.col("held_"))
+    return (
+        rare.join(other, ["c", "h"])
+        .filter((F.col("doc") < F.col("doc_")) & (F.col("label") != F.col("label_")))
+        .filter((100 + percent) * most >= percent * (F.col("n") + F.col("n_")))
+        .select(F.col("doc").alias("a"), F.col("doc_").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 6,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
@@ -236,7 +278,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     support = shared.groupBy("doc").agg(F.sum("size").alias("support"))
     ranked = shared.join(support, "doc").select("key", "doc", "n", "support")
     best = F.max(F.struct("support", (-F.col("doc")).alias("last"), "n")).alias("best")
-    centre = ranked.groupBy("key").agg(best).select("key", (-F.col("best.last")).alias("c"), F.col("best.n").alias("nc"))
+    centre = ranked.groupBy("key").agg(best).select(
+        "key", (-F.col("best.last")).alias("c"), F.col("best.n").alias("nc"), F.col("best.support").alias("tc")
+    )
     buckets = scratch.write(ranked.join(centre, "key"))
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     pairs = (
@@ -252,11 +296,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         )
     )
     names = scratch.write(connected(scratch.write(confirmed(tested, texts, width, percent))))
-    alive = buckets.select("key", "doc", "n", "support", "c", F.col("n").alias("s"))
+    # Before anything is known of the sets: all of one may be in others, and there is no common centre.
+    bounds = {"s": F.col("n"), "held": F.col("n"), "hub": F.lit(None).cast("long")}
+    alive = buckets.select("key", "doc", "n", "support", "c", "tc", *[v.alias(k) for k, v in bounds.items()])
     pruned, low, high = False, 1, 4
     while True:
         named = alive.join(names.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", "n", "support", "c", "s", F.coalesce("label", "doc").alias("label")
+            "key", "doc", "n", "support", "c", "tc", *bounds, F.coalesce("label", "doc").alias("label")
         )
         mixed = named.groupBy("key").agg(
             F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("size")
@@ -266,12 +312,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if not left:
             break
         if not pruned:
-            asking = opened.groupBy("doc", "label").agg(F.min("c").alias("c"))
-            own = scratch.write(private_counts(scratch.write(asking), texts, width, scratch))
-            alive = opened.join(own, "doc", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+            # Of the centres of its buckets a document is compared with the one that meets most others.
+            asking = opened.groupBy("doc", "label").agg(F.max(F.struct("tc", "c"))["c"].alias("c"))
+            rows = apart_from_centres(scratch.write(asking), texts, width, scratch)
+            new = rows.filter("not central").groupBy("doc", F.col("c").alias("_hub")).agg(F.count(F.lit(1)).alias("new"))
+            own = scratch.write(new.join(private_counts(rows), "doc", "left"))
+            alive = opened.drop("label").join(own, "doc", "left").withColumns(
+                {
+                    "s": F.col("n") - F.coalesce("own", F.lit(0)),
+                    "held": F.col("n") - F.coalesce("new", F.lit(0)),
+                    "hub": F.col("_hub"),
+                }
+            )
             alive = scratch.write(
-                alive.filter(100 * F.col("s") >= percent * F.col("n")).select("key", "doc", "n", "support", "c", "s")
+                alive.filter(100 * F.col("s") >= percent * F.col("n")).select(
+                    "key", "doc", "n", "support", "c", "tc", *bounds
+                )
             )
+            sizes = scratch.write(alive.filter("hub is not null").select("doc", "n", "held").distinct())
+            pairs = scratch.write(sharing_new(rows, sizes, percent).join(tested, ["a", "b"], "left_anti"))
+            tested = tested.unionByName(pairs)
+            links, found = scratch.write_counting(confirmed(pairs, texts, width, percent), F.lit(True))
+            if found:
+                names = _merged(scratch, names, links)
             pruned, low, high = True, 0, 3
             continue
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("support"), "doc"))
@@ -279,9 +342,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         centres = opened.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)
         centres = centres.select(
             "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"),
-            F.col("support").alias("ta"),
+            F.col("support").alias("ta"), F.col("held").alias("helda"), F.col("hub").alias("huba"),
         )
-        both = F.least("s", "sa")
+        # Pairs with one centre that share new shingles are done; the others have no more than it has of both.
+        both = F.when(F.col("hub") == F.col("huba"), F.least("s", "sa", "held", "helda")).otherwise(F.least("s", "sa"))
         pairs = (
             opened.join(centres, "key")
             .filter(F.col("label") != F.col("la"))
