@@ -92,10 +92,11 @@ def spread(rows: DataFrame) -> DataFrame:
     """`rows` dealt out evenly if they come from fewer files than there are cores.
 
     A small file, one row group or one huge row would otherwise be one task of work that grows
-    manyfold; inputs of many files are not moved.
+    manyfold; inputs of many files are not moved. A stream does not tell its files and is dealt out.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(shuffle_width(rows.sparkSession)) if len(rows.inputFiles()) < cores else rows
+    many = not rows.isStreaming and len(rows.inputFiles()) >= cores
+    return rows if many else rows.repartition(shuffle_width(rows.sparkSession))
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "left") -> DataFrame:
