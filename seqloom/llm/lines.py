@@ -170,6 +170,9 @@ def word_keyed(firsts: DataFrame, asked: bool) -> DataFrame:
     return rows.select("k1", "odd", "n", F.explode("key").alias("key"))
 
 
+BAND = 512
+
+
 def within(a: str | list[str], b: str | list[str], edits: int) -> bool:
     """Whether `b` is at most `edits` insertions, deletions or substitutions from `a`.
 
@@ -192,24 +195,22 @@ def within(a: str | list[str], b: str | list[str], edits: int) -> bool:
         return n <= edits
     window = (1 << 2 * edits + 1) - 1
     middle = 1 << edits
-    # Per character (or word) its places in the window of rows; a row enters at the top and leaves below.
-    places: dict[str, int] = {}
-    for i in range(min(edits, m)):
-        places[a[i]] = places.get(a[i], 0) | 1 << (i + edits + 1)
     up = (window >> edits + 1) << edits + 1  # rows 1 to `edits` of column 0, seen from column 0
     down = 0
     score = 0
+    # Per character (or word) its rows, as bits from row `base` on. The masks hold the rows that the
+    # next BAND columns can reach and no more, so a step costs the same in a line of any length.
+    places: dict[str, int] = {}
+    base = 0
     for j, c in enumerate(b, 1):
+        if (j - 1) % BAND == 0:
+            places, base = {}, max(0, j - 1 - edits)
+            for i, x in enumerate(a[base : j + BAND + edits]):
+                places[x] = places.get(x, 0) | 1 << i
         up, down = up >> 1 | 1 << 2 * edits, down >> 1
-        # At most 2 * edits + 1 rows are in the window, so masks are as short as it.
-        for k in places:
-            places[k] >>= 1
-        entering = j - 1 + edits
-        if entering < m:
-            places[a[entering]] = places.get(a[entering], 0) | 1 << 2 * edits
-        if len(places) > 4 * edits + 4:
-            places = {k: p for k, p in places.items() if p}
-        match = places.get(c, 0) & window
+        shift = j - 1 - edits - base
+        p = places.get(c, 0)
+        match = (p >> shift if shift >= 0 else p << -shift) & window
         flat = ((((match & up) + up) ^ up) | match | down) & window
         right_up = (down | ~(flat | up)) & window
         right_down = flat & up
