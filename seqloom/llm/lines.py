@@ -293,16 +293,41 @@ def checked(scratch: Scratch, firsts: DataFrame, met: DataFrame, edits: int) ->
     return verified(met, texts, edits)
 
 
+# A signature is one number: 48 parities, above them how many of a partner's may differ, and whether the
+# key is one that the line is stored under.
+PARITIES = 48
+STORED = 1 << 62
+
+
 def probes(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
-    """(words, key, k1, odd, room): keys of both kinds; `room` is how many parities of a partner may differ."""
-    chars = keyed(firsts, edits, asked).select(
-        F.lit(False).alias("words"), "key", "k1",
-        F.col("odd").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("odd"), F.lit(2 * edits).alias("room"),
-    )
-    band = F.floor(F.log2(F.floor(F.col("n") / 25) + F.lit(1e-9)))  # see `word_edits`
-    room = (2 * F.greatest(F.lit(1), 2 * band)).cast("int")
-    return chars.unionByName(
-        word_keyed(firsts, asked).select(F.lit(True).alias("words"), "key", "k1", "odd", room.alias("room"))
+    """(key, k1, sig) of both kinds of keys: those a line is stored under, and with `asked` the others too.
+
+    Folding 64 parities of words into 48 merges kinds, which can only hide differences, never make any.
+    """
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask = (1 << PARITIES) - 1
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = []
+            for k1, line, odd in zip(batch["k1"], batch["line"], parities(batch["line"])):
+                own = stored_keys(line, edits)
+                more = [k for k in asked_keys(line, edits) if k not in own] if asked else []
+                rows.append((k1, 2 * edits << PARITIES | int(odd) & 0xFFFFFFFF, own, more))
+                words = line.split() if len(line) >= 49 else []
+                most = word_edits(len(words))
+                if most:
+                    own = word_keys(words, False)
+                    more = [k for k in word_keys(words, True) if k not in own] if asked else []
+                    bits = word_parities(words) & (1 << 64) - 1
+                    rows.append((k1, 2 * most << PARITIES | bits & mask ^ bits >> PARITIES, own, more))
+            yield pd.DataFrame(rows, columns=["k1", "sig", "own", "more"])
+
+    rows = firsts.select("k1", "line").mapInPandas(make, "k1 long, sig long, own array<long>, more array<long>")
+    rows = rows.select("k1", "sig", F.size("own").alias("_own"), F.posexplode(F.concat("own", "more")).alias("_at", "key"))
+    return rows.select(
+        "key", "k1", F.when(F.col("_at") < F.col("_own"), F.col("sig").bitwiseOR(F.lit(STORED))).otherwise(F.col("sig")).alias("sig")
     )
 
 
@@ -314,35 +339,36 @@ def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     come from, which is within reach of more centres than any of them. Only lines that still are in
     different components are compared pair by pair, under keys where several lines are stored.
     """
-    key = ["words", "key"]
-    line = F.struct("k1", "odd", "room")
-    own = probes(firsts, edits, False)
-    stars = own.groupBy(*key).agg(F.min(line).alias("c"), F.count(F.lit(1)).alias("size"))
+    stars = probes(firsts, edits, False).groupBy("key").agg(
+        F.min(F.struct("k1", "sig")).alias("c"), F.count(F.lit(1)).alias("size")
+    )
+    room = lambda sig: F.shiftright(F.col(sig).bitwiseAND(F.lit(STORED - 1)), PARITIES)
+    differ = lambda c: F.col("sig").bitwiseXOR(F.col(f"{c}.sig")).bitwiseAND(F.lit((1 << PARITIES) - 1))
     fits = lambda c: (F.col(f"{c}.k1") != F.col("k1")) & (
-        F.bit_count(F.col("odd").bitwiseXOR(F.col(f"{c}.odd"))) <= F.least("room", f"{c}.room")
+        F.bit_count(differ(c)) <= F.least(room("sig"), room(f"{c}.sig"))
     )
     pair = lambda c: (F.least("k1", f"{c}.k1").alias("a"), F.greatest("k1", f"{c}.k1").alias("b"))
-    met = probes(firsts, edits, True).join(stars, key).filter((F.col("size") > 1) | fits("c"))
+    met = probes(firsts, edits, True).join(stars, "key").filter((F.col("size") > 1) | fits("c"))
     met = scratch.write(met)
     tested = scratch.write(met.filter(fits("c")).select(*pair("c")).distinct())
     links = scratch.write(checked(scratch, firsts, tested, edits))
-    several = met.filter("size > 1").select(*key, "k1", "odd", "room")
-    # Written, as it is asked twice; keys with one stored line are done.
-    held = scratch.write(own.join(several.select(*key).distinct(), key, "left_semi"))
+    # Keys with one stored line are done.
+    several = met.filter("size > 1").select("key", "k1", "sig")
+    held = several.filter(F.col("sig").bitwiseAND(F.lit(STORED)) != 0)
     degree = links.select(F.explode(F.array("a", "b")).alias("k1")).groupBy("k1").agg(F.count(F.lit(1)).alias("links"))
-    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "k1", "odd", "room")).alias("c")
-    hubs = held.join(degree, "k1", "left").groupBy(*key).agg(best)
-    second = several.join(hubs, key).filter(fits("c")).select(*pair("c")).distinct()
+    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "k1", "sig")).alias("c")
+    hubs = held.join(degree, "k1", "left").groupBy("key").agg(best)
+    second = several.join(hubs, "key").filter(fits("c")).select(*pair("c")).distinct()
     second = scratch.write(second.join(tested, ["a", "b"], "left_anti"))
     tested = tested.unionByName(second)
     links = scratch.write(links.unionByName(checked(scratch, firsts, second, edits)))
     names = connected(links).withColumnRenamed("node", "k1")
     labelled = lambda rows: rows.join(names, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
-    asking, holding = scratch.write(labelled(several)), scratch.write(labelled(held))
-    ends = asking.select(*key, "label").unionByName(holding.select(*key, "label"))
-    mixed = ends.groupBy(*key).agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select(*key)
-    holding = holding.join(mixed, key, "left_semi").select(*key, F.struct("k1", "odd", "room", "label").alias("c"))
-    apart = asking.join(mixed, key, "left_semi").join(holding, key).filter((F.col("label") != F.col("c.label")) & fits("c"))
+    asking = scratch.write(labelled(several))
+    mixed = asking.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("key")
+    asking = asking.join(mixed, "key", "left_semi")
+    holding = asking.filter(F.col("sig").bitwiseAND(F.lit(STORED)) != 0).select("key", F.struct("k1", "sig", "label").alias("c"))
+    apart = asking.join(holding, "key").filter((F.col("label") != F.col("c.label")) & fits("c"))
     apart = scratch.write(apart.select(*pair("c")).distinct().join(tested, ["a", "b"], "left_anti"))
     return links.unionByName(checked(scratch, firsts, apart, edits))
 
