@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import BLANKS, stored
 from seqloom.llm.graph import connected
+from seqloom.llm.segments import PARITIES, chunks, line_probes
 from seqloom.storage import Scratch
 
 
@@ -293,42 +294,23 @@ def checked(scratch: Scratch, firsts: DataFrame, met: DataFrame, edits: int) ->
     return verified(met, texts, edits)
 
 
-# A signature is one number: 48 parities, above them how many of a partner's may differ, and whether the
+# A signature is one number: the parities, above them how many of a partner's may differ, and whether the
 # key is one that the line is stored under.
-PARITIES = 48
 STORED = 1 << 62
 
 
 def probes(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
-    """(key, k1, sig) of both kinds of keys: those a line is stored under, and with `asked` the others too.
-
-    Folding 64 parities of words into 48 merges kinds, which can only hide differences, never make any.
-    """
+    """(key, k1, sig): the keys a line is stored under, and with `asked` those it asks with too."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask = (1 << PARITIES) - 1
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = []
-            for k1, line, odd in zip(batch["k1"], batch["line"], parities(batch["line"])):
-                own = stored_keys(line, edits)
-                more = [k for k in asked_keys(line, edits) if k not in own] if asked else []
-                rows.append((k1, 2 * edits << PARITIES | int(odd) & 0xFFFFFFFF, own, more))
-                words = line.split() if len(line) >= 49 else []
-                most = word_edits(len(words))
-                if most:
-                    own = word_keys(words, False)
-                    more = [k for k in word_keys(words, True) if k not in own] if asked else []
-                    bits = word_parities(words) & (1 << 64) - 1
-                    rows.append((k1, 2 * most << PARITIES | bits & mask ^ bits >> PARITIES, own, more))
-            yield pd.DataFrame(rows, columns=["k1", "sig", "own", "more"])
-
-    rows = firsts.select("k1", "line").mapInPandas(make, "k1 long, sig long, own array<long>, more array<long>")
-    rows = rows.select("k1", "sig", F.size("own").alias("_own"), F.posexplode(F.concat("own", "more")).alias("_at", "key"))
-    return rows.select(
-        "key", "k1", F.when(F.col("_at") < F.col("_own"), F.col("sig").bitwiseOR(F.lit(STORED))).otherwise(F.col("sig")).alias("sig")
-    )
+            ids, texts = batch["k1"].to_numpy(np.int64), batch["line"].tolist()
+            for part in chunks(np.array([len(x) for x in texts], np.int64)):
+                for row, key, own, room, odd in line_probes(texts[part], edits, asked):
+                    sig = odd | room << np.uint64(PARITIES) | own.astype(np.uint64) * np.uint64(STORED)
+                    yield pd.DataFrame({"key": key.view(np.int64), "k1": ids[part][row], "sig": sig.view(np.int64)})
+
+    return firsts.select("k1", "line").mapInPandas(make, "key long, k1 long, sig long")
 
 
 def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
