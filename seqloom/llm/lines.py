@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import BLANKS, stored
 from seqloom.llm.graph import connected
-from seqloom.llm.segments import PARITIES, chunks, line_probes
+from seqloom.llm.segments import PARITIES, chunks, line_probes, wide_parities
 from seqloom.storage import Scratch
 
 
@@ -313,6 +313,27 @@ def probes(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
     return firsts.select("k1", "line").mapInPandas(make, "key long, k1 long, sig long")
 
 
+def wide(firsts: DataFrame) -> DataFrame:
+    """(k1, wide): parities of more kinds than a signature has room for."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, texts = batch["k1"].to_numpy(np.int64), batch["line"].tolist()
+            for part in chunks(np.array([len(x) for x in texts], np.int64)):
+                made = dict(zip(("c1", "c2", "w1", "w2", "words"), wide_parities(texts[part])))
+                yield pd.DataFrame({"k1": ids[part], **made})
+
+    rows = firsts.select("k1", "line").mapInPandas(make, "k1 long, c1 long, c2 long, w1 long, w2 long, words long")
+    return rows.select("k1", F.struct("c1", "c2", "w1", "w2", "words").alias("wide"))
+
+
+def may_link(x: str, y: str, edits: int) -> Column:
+    """Whether parities `x` and `y` from `wide` allow a link by characters or by words (an exact bound)."""
+    turned = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    most = F.least(f"{x}.words", f"{y}.words")
+    return (turned("c1") + turned("c2") <= 2 * edits) | ((most > 0) & (turned("w1") + turned("w2") <= 2 * most))
+
+
 def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     """Links (a, b) whose components are those of all links, without all pairs of a group of near copies.
 
@@ -348,9 +369,12 @@ def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     labelled = lambda rows: rows.join(names, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
     asking = scratch.write(labelled(several))
     mixed = asking.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("key")
-    asking = asking.join(mixed, "key", "left_semi")
-    holding = asking.filter(F.col("sig").bitwiseAND(F.lit(STORED)) != 0).select("key", F.struct("k1", "sig", "label").alias("c"))
-    apart = asking.join(holding, "key").filter((F.col("label") != F.col("c.label")) & fits("c"))
+    asking = scratch.write(asking.join(mixed, "key", "left_semi"))
+    # These lines are few and close to each other, so that they are worth more parities than a signature holds.
+    far = scratch.write(wide(firsts.join(asking.select("k1").distinct(), "k1", "left_semi")))
+    asking = asking.join(far, "k1")
+    holding = asking.filter(F.col("sig").bitwiseAND(F.lit(STORED)) != 0).select("key", F.struct("k1", "sig", "label", "wide").alias("c"))
+    apart = asking.join(holding, "key").filter((F.col("label") != F.col("c.label")) & fits("c") & may_link("wide", "c.wide", edits))
     apart = scratch.write(apart.select(*pair("c")).distinct().join(tested, ["a", "b"], "left_anti"))
     return links.unionByName(checked(scratch, firsts, apart, edits))
 

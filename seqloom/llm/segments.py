@@ -102,19 +102,15 @@ def chunks(sizes: np.ndarray) -> Iterator[slice]:
             yield slice(int(a), int(b))
 
 
-def line_probes(lines: list[str], edits: int, asked: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, key, own, room, parities) of non-empty lines, first by characters and then by words.
-
-    `room` is the number of parities in which a linked line may differ at most.
-    """
+def characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all lines in a row, and where each line begins and how long it is."""
     sizes = np.array([len(x) for x in lines], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    runs = Runs(mixed((codes + np.uint64(1)) * np.uint64(_BASE)))
-    row, key, own = segment_keys(runs, first, sizes, lambda n: np.full(len(n), edits, np.int64), 1, asked)
-    odd = _parities((codes & np.uint32(31)).astype(np.uint64), first)
-    yield row, key, own, np.full(len(row), 2 * edits, np.uint64), odd[row]
+    first = np.cumsum(sizes) - sizes
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), first, sizes
+
 
+def words_of(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all lines in a row, and how many words each line has."""
     solid = ~((codes < len(_WHITE)) & _WHITE[np.minimum(codes, len(_WHITE) - 1)])
     begins, ends = np.zeros(len(codes) + 1, bool), np.zeros(len(codes) + 1, bool)
     begins[first], ends[first + sizes] = True, True
@@ -122,13 +118,49 @@ def line_probes(lines: list[str], edits: int, asked: bool) -> Iterator[tuple[np.
     ends[1:-1] |= ~solid[1:]
     start = np.flatnonzero(solid & begins[:-1])
     end = np.flatnonzero(solid & ends[1:]) + 1
-    counts = np.bincount(np.searchsorted(first, start, "right") - 1, minlength=len(lines))
+    counts = np.bincount(np.searchsorted(first, start, "right") - 1, minlength=len(sizes))
+    return mixed(runs(start, end) + (end - start).astype(np.uint64)), counts
+
+
+def _runs_of(codes: np.ndarray) -> Runs:
+    return Runs(mixed((codes + np.uint64(1)) * np.uint64(_BASE)))
+
+
+def line_probes(lines: list[str], edits: int, asked: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, key, own, room, parities) of non-empty lines, first by characters and then by words.
+
+    `room` is the number of parities in which a linked line may differ at most.
+    """
+    codes, first, sizes = characters(lines)
+    runs = _runs_of(codes)
+    row, key, own = segment_keys(runs, first, sizes, lambda n: np.full(len(n), edits, np.int64), 1, asked)
+    odd = _parities((codes & np.uint32(31)).astype(np.uint64), first)
+    yield row, key, own, np.full(len(row), 2 * edits, np.uint64), odd[row]
+
+    words, counts = words_of(codes, first, sizes, runs)
     held = np.flatnonzero(counts)
     if not len(held):
         return
-    words = mixed(runs(start, end) + (end - start).astype(np.uint64))
     first = (np.cumsum(counts) - counts)[held]
     counts = counts[held]
     row, key, own = segment_keys(Runs(words), first, counts, word_limits, 2, asked)
     odd = _parities(words % np.uint64(PARITIES), first)
     yield held[row], key, own, (2 * word_limits(counts)).astype(np.uint64)[row], odd[row]
+
+
+def wide_parities(lines: list[str]) -> np.ndarray:
+    """Per non-empty line c1, c2, w1, w2, words: 128 parities of characters, 128 of words, and edits of words allowed."""
+    codes, first, sizes = characters(lines)
+    words, counts = words_of(codes, first, sizes, _runs_of(codes))
+    out = np.zeros((5, len(lines)), np.int64)
+    held = np.flatnonzero(counts)
+    for at, elements, where, whose in ((0, codes.astype(np.uint64), first, slice(None)),
+                                       (2, words, (np.cumsum(counts) - counts)[held], held)):
+        if not len(where):
+            continue
+        kind = elements & np.uint64(127)
+        for half in (0, 1):
+            bits = np.where(kind >> np.uint64(6) == half, np.uint64(1) << (kind & np.uint64(63)), np.uint64(0))
+            out[at + half, whose] = np.bitwise_xor.reduceat(bits, where).view(np.int64)
+    out[4] = word_limits(counts)
+    return out

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from seqloom.llm import lines
-from seqloom.llm.segments import chunks, line_probes, word_limits
+from seqloom.llm.segments import chunks, line_probes, wide_parities, word_limits
 
 
 def test_limits_of_words():
@@ -48,3 +48,21 @@ def test_keys_are_those_of_single_lines():
 
 def test_lines_without_words_have_no_word_keys():
     assert [len(x[0]) for x in line_probes(["z" * 60], 2, True)][1:] == [0]
+
+
+def test_wide_parities_never_part_linked_lines():
+    rng = random.Random(5)
+    base = [f"word{rng.randrange(200)}" for _ in range(110)]
+    made = []
+    for _ in range(60):
+        w = list(base[: rng.choice([12, 30, 60, 110])])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(["new", "", "a b", "é中"])
+        made.append(" ".join(w))
+    c1, c2, w1, w2, most = ([int(v) & (1 << 64) - 1 for v in x] for x in wide_parities([*made, "zz" * 30]))
+    for i, a in enumerate(made):
+        for j, b in enumerate(made[:i]):
+            by_chars = (c1[i] ^ c1[j]).bit_count() + (c2[i] ^ c2[j]).bit_count() <= 4
+            by_words = (w1[i] ^ w1[j]).bit_count() + (w2[i] ^ w2[j]).bit_count() <= 2 * min(most[i], most[j])
+            assert by_chars or by_words or not lines.near_lines(a, b, 2)
+    assert most[-1] == 0
