@@ -50,6 +50,24 @@ def test_reads_without_a_valley_stay(spark):
     assert correct_reads(reads.limit(0), 17).count() == 0
 
 
+def test_words_that_also_occur_elsewhere(spark):
+    """Reads at every 6th base, 9-mers of which one in fifty random ones occurs: right reads stay right."""
+    rng = random.Random(3)
+    truth, made = [], []
+    for _ in range(10):
+        whole = "".join(rng.choice("ACGT") for _ in range(500))
+        for i in range((500 - 60) // 6 + 1):
+            read = whole[6 * i : 6 * i + 60]
+            truth.append(read)
+            if i % 7 == 3 and 60 <= 6 * i <= 380:
+                at = rng.randrange(12, 48)
+                read = read[:at] + rng.choice([c for c in "ACGT" if c != read[at]]) + read[at + 1 :]
+            made.append(read)
+    reads = spark.createDataFrame([*enumerate(made)], READS)
+    found = {r.read_id: r.seq for r in correct_reads(reads, 9).collect()}
+    assert made != truth and [i for i in found if found[i] != truth[i]] == []
+
+
 def test_too_many_repairs_leave_a_read(spark):
     truth, made = sampled(5, 2)
     got = correct_reads(spark.createDataFrame([*enumerate(made)], READS), 17, max_positions=1, rounds=1)
