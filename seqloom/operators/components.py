@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.storage import Scratch, lookup
+from seqloom.storage import Scratch, dealt, lookup
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         labels = lookup(labels, up, "label", "node", "left").select(
             "id", F.coalesce("_up", "label").alias("label")
         )
-    loners = alone.join(labels.select("id"), "id", "left_anti")
+    loners = alone.join(dealt(labels.select("id")), "id", "left_anti")
     return labels.unionByName(loners.select("id", F.col("id").alias("label")))
 
 
