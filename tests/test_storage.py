@@ -45,3 +45,17 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
         assert shuffled() <= before
         assert sorted(r["count"] for r in kept.collect()) == [142] + [143] * 6
     assert spark.conf.get(CLEANUP_CONF) == was
+
+
+def test_large_states_of_chains_do_not_stay(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("seqloom.operators.chains._rounds_at_once", lambda n: 1 if n > 20 else 4)
+    deleted = []
+    monkeypatch.setattr(Scratch, "drop", lambda self, t, drop=Scratch.drop: (deleted.append(t.columns), drop(self, t))[1])
+    with Scratch(spark, "test") as scratch:
+        ring = spark.range(1000, 1040).select("id", ((F.col("id") + 39) % 40 + 1000).alias("prv"), ((F.col("id") + 1) % 40 + 1000).alias("nxt"))
+        traced = trace_chains(chain(spark, 300).unionByName(ring), scratch)
+        found = {r["id"]: (r["label"], r["circuit"], r["rank"]) for r in traced.collect()}
+    assert len(found) == 340 and all(found[i] == (0, 0, i) for i in range(300))
+    assert {found[i][:2] for i in range(1000, 1040)} == {(1000, 1)}
+    assert sorted(found[i][2] for i in range(1000, 1040)) == list(range(40))
+    assert len(deleted) >= 5 and all("nxt" in columns for columns in deleted)
