@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.operators import checks
 from seqloom.operators import contigs as ct
 from seqloom.operators import graph as g
 from seqloom.operators.checks import graph_checks
@@ -138,6 +140,37 @@ def test_broken_tables_are_found(spark, tables):
     assert broken(spark, tables, edges=e.filter(F.col("eid") != a.eid))["edges"][0] == 1
 
 
+def test_copies_are_checked_as_ranges(spark):
+    """Words of a thousand million copies: their edges are never made one by one."""
+    counts = spark.createDataFrame([(w, 10**9 + 7 * w) for w in range(0, 64, 3)], "lmer long, cnt long")
+    graph = g.build_graph(counts, 3, Scratch(spark, "graph"))
+    total = sum(10**9 + 7 * w for w in range(0, 64, 3))
+    ranges = g.edge_ranges(graph)
+    rows = {r.check: r for r in graph_checks(graph.words, graph.vertices, ranges, Scratch(spark, "checks")).collect()}
+    assert all(r.bad == 0 for r in rows.values()) and rows["edges"].value == rows["entering"].value == total
+    hit = ranges.filter("slen > 0").orderBy("eid0").first()
+    far = ranges.withColumn("s0", F.when(F.col("eid0") == hit.eid0, F.lit(total - 5)).otherwise(F.col("s0")))
+    bad = {r.check: (r.bad, r.first) for r in graph_checks(graph.words, graph.vertices, far, Scratch(spark, "checks")).collect() if r.bad}
+    assert bad["successor_range"] == (hit.slen - 5, hit.eid0 + 5) and bad["successor_missing"] == (hit.slen - 5, total)
+
+
+def test_met_pieces_as_single_ids():
+    rng = np.random.default_rng(3)
+    for n, span in ((1, 9), (40, 60), (400, 30), (300, 4000)):
+        start = rng.integers(0, span, n)
+        stop = start + rng.integers(1, span, n)
+        values = [rng.integers(0, 9, n) for _ in range(4)]
+        want = {}
+        for a, b, *v in zip(start, stop, *values):
+            for i in range(a, b):
+                t = want.get(i)
+                want[i] = [max(t[0], v[0]), min(t[1], v[1]), max(t[2], v[2]), t[3] + v[3]] if t else v
+        got = {}
+        for a, b, *v in zip(*checks.met_pieces((start, stop, *values))):
+            got.update({i: v for i in range(a, b)})
+        assert got == want
+
+
 def cycles(spark, rings, **options):
     """Rings of base texts as chains and edges, numbered in a shuffled order."""
     rng = random.Random(4)
