@@ -7,6 +7,7 @@ import brute
 from seqloom.operators import circuits as cg
 from seqloom.operators import graph as g
 from seqloom.plans.assembly import Assembly
+from seqloom.storage import Scratch
 
 A = (["ACGTC", "TACGT"], 3)
 B = (["AACCA", "ACCAA"], 3)
@@ -127,3 +128,28 @@ def test_no_reads_long_enough(spark):
     asm = Assembly(reads_df(spark, ["AC", ""]), 5)
     assert asm.edges().count() == 0
     assert asm.contigs().count() == 0
+
+
+def test_sums_per_block_are_those_of_single_links(spark):
+    asm = Assembly(reads_df(spark, random_reads(5, "ACG", 40, 30) + ["AAAAAAAA"] * 30), 4)
+    rows = asm.links.groupBy(F.expr("id div 8").alias("block")).agg(
+        F.sum("nxt").alias("sum_s"), F.sum("prv").alias("sum_p"), F.count("nxt").alias("paired")
+    )
+    want = sorted(map(tuple, rows.collect()), key=lambda r: r[0])
+    assert sorted(map(tuple, g.link_blocks(asm.graph, 8).collect()), key=lambda r: r[0]) == want
+    starts = sorted(r.id for r in asm.links.filter("prv is null").collect())
+    assert sorted(r.eid for r in g.unpaired_starts(asm.graph).collect()) == starts
+
+
+def test_sums_per_block_do_not_make_copies(spark):
+    """Two words of thousands of millions of copies: the work is in their blocks."""
+    n = 3 * 10**9
+    graph = g.build_graph(spark.createDataFrame([(0, n), (1, 5)], "lmer long, cnt long"), 3, Scratch(spark, "graph"))
+    rows = sorted(map(tuple, g.link_blocks(graph, 1 << 30).collect()))
+    # AAA enters and leaves AA with AAC behind it: each copy follows itself.
+    cuts = [(i << 30, min((i + 1) << 30, n)) for i in range(3)]
+    assert rows == [(i, *[sum_to(b) - sum_to(a)] * 2, b - a) for i, (a, b) in enumerate(cuts)]
+
+
+def sum_to(n):
+    return n * (n - 1) // 2
