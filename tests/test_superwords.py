@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from seqloom.functions.encoding import COMPLEMENT_CODES, FORWARD_CODES
@@ -71,19 +70,11 @@ def test_no_reads(spark):
     assert word_counts(spark.createDataFrame([], "read_id long, seq string"), 17).count() == 0
 
 
-def test_tally_over_many_batches(monkeypatch):
-    """A minimizer that goes on over several rounds, and rounds that hold several."""
-    rng = random.Random(8)
-    texts = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(30)] + ["A" * 200, "AC" * 90] * 3
-    want = brute(texts, 9, "forward")
-    runs = []
-    for _, _, ends, data in superwords.chunks([t.encode() for t in texts], 9):
-        _, mini, hi, lo, size = superwords.runs_of(superwords.FORWARD[np.frombuffer(data, np.uint8)], ends, 9, 4)
-        runs.append(superwords.combined(mini, hi, lo, size))
-    rows = pd.concat(runs).sort_values("mini", ignore_index=True)
-    for windows, step in ((1, 1), (40, 7), (1 << 20, 50)):
-        monkeypatch.setattr(superwords, "WINDOWS", windows)
-        made = pd.concat(superwords.tally((rows[i : i + step] for i in range(0, len(rows), step)), 9))
-        assert made["lmer"].is_unique
-        assert dict(zip(made["lmer"], made["cnt"])) == want
-    assert sum(map(len, superwords.tally(iter([]), 9))) == 0
+def test_few_words_send_one_row_per_kind(spark):
+    """What a task sends is bounded by the kinds of words, however long its texts are."""
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 2, 3, 4, 5000])))) for i in range(60)]
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    made = superwords.few_words(reads, 3)
+    assert {r.lmer: r.cnt for r in made.collect()} == brute([t for _, t in rows], 3, "both")
+    assert "MapInPandas" in made._jdf.queryExecution().toString() and "Generate" not in made._jdf.queryExecution().toString()
