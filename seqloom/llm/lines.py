@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import BLANKS, stored
 from seqloom.llm.graph import connected
-from seqloom.llm.segments import PARITIES, chunks, line_probes, wide_parities
+from seqloom.llm.segments import PARITIES, chunks, line_probes, wide_parities, word_codes
 from seqloom.storage import Scratch
 
 
@@ -314,24 +314,36 @@ def probes(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
 
 
 def wide(firsts: DataFrame) -> DataFrame:
-    """(k1, wide): parities of more kinds than a signature has room for."""
+    """(k1, wide): parities of more kinds than a signature has room for, a sign for each word, and a line of usual length."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch["k1"].to_numpy(np.int64), batch["line"].tolist()
             for part in chunks(np.array([len(x) for x in texts], np.int64)):
                 made = dict(zip(("c1", "c2", "w1", "w2", "words"), wide_parities(texts[part])))
-                yield pd.DataFrame({"k1": ids[part], **made})
+                usual = [x if len(x) <= USUAL else None for x in texts[part]]
+                yield pd.DataFrame({"k1": ids[part], **made, "signs": word_codes(texts[part]), "line": usual})
 
-    rows = firsts.select("k1", "line").mapInPandas(make, "k1 long, c1 long, c2 long, w1 long, w2 long, words long")
-    return rows.select("k1", F.struct("c1", "c2", "w1", "w2", "words").alias("wide"))
+    made = "k1 long, c1 long, c2 long, w1 long, w2 long, words long, signs string, line string"
+    rows = firsts.select("k1", "line").mapInPandas(make, made)
+    return rows.select("k1", F.struct("c1", "c2", "w1", "w2", "words", "signs", "line").alias("wide"))
+
+
+USUAL = 4096  # characters of a line that goes along whole
 
 
 def may_link(x: str, y: str, edits: int) -> Column:
-    """Whether parities `x` and `y` from `wide` allow a link by characters or by words (an exact bound)."""
+    """Whether what `wide` gives of two lines allows a link by characters or by words (an exact bound).
+
+    Distances come after parities, as they take longer. An edit of a character is at most two of words,
+    as a blank put in or taken out parts or joins two.
+    """
     turned = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
-    most = F.least(f"{x}.words", f"{y}.words")
-    return (turned("c1") + turned("c2") <= 2 * edits) | ((most > 0) & (turned("w1") + turned("w2") <= 2 * most))
+    near = lambda c, most: F.call_function("levenshtein", F.col(f"{x}.{c}"), F.col(f"{y}.{c}"), most) >= 0
+    most = F.least(f"{x}.words", f"{y}.words").cast("int")
+    by_chars = (turned("c1") + turned("c2") <= 2 * edits) & near("signs", F.lit(2 * edits))
+    by_words = (most > 0) & (turned("w1") + turned("w2") <= 2 * most) & near("signs", most)
+    return by_words | (by_chars & F.coalesce(near("line", F.lit(edits)), F.lit(True)))
 
 
 def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
@@ -370,7 +382,8 @@ def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     asking = scratch.write(labelled(several))
     mixed = asking.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("key")
     asking = scratch.write(asking.join(mixed, "key", "left_semi"))
-    # These lines are few and close to each other, so that they are worth more parities than a signature holds.
+    # These lines are few and close to each other, so that they are worth more than a signature holds: of pairs
+    # that are not linked hardly one becomes a row.
     far = scratch.write(wide(firsts.join(asking.select("k1").distinct(), "k1", "left_semi")))
     asking = asking.join(far, "k1")
     holding = asking.filter(F.col("sig").bitwiseAND(F.lit(STORED)) != 0).select("key", F.struct("k1", "sig", "label", "wide").alias("c"))

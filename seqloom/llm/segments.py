@@ -164,3 +164,12 @@ def wide_parities(lines: list[str]) -> np.ndarray:
             out[at + half, whose] = np.bitwise_xor.reduceat(bits, where).view(np.int64)
     out[4] = word_limits(counts)
     return out
+
+
+def word_codes(lines: list[str]) -> list[str]:
+    """Per non-empty line one ASCII character a word: two lines are at least as far apart in words as these strings."""
+    codes, first, sizes = characters(lines)
+    words, counts = words_of(codes, first, sizes, _runs_of(codes))
+    signs = ((words >> np.uint64(7)) % np.uint64(94) + np.uint64(33)).astype(np.uint8).tobytes().decode("ascii")
+    ends = np.cumsum(counts).tolist()
+    return [signs[a:b] for a, b in zip([0, *ends], ends)]
