@@ -31,15 +31,24 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import BLANKS, stored
 from seqloom.llm.graph import connected
-from seqloom.llm.segments import PARITIES, chunks, line_probes, wide_parities, word_codes
+from seqloom.llm.segments import PARITIES, chunks, wide_parities, word_codes
+from seqloom.llm.shared_keys import STORED, shared_probes
 from seqloom.storage import Scratch
 
 
+def _trimmed(line: Column) -> Column:
+    """A trim by a set of characters walks through the whole line, so only lines that need it are trimmed."""
+    blank = F.lit(False)
+    for c in BLANKS:
+        blank = blank | line.startswith(c) | line.endswith(c)
+    return F.when(blank, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, line, k1, k2) of the lines that take part, in the given rows' order."""
     return (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-        .select("doc_id", "line_no", F.btrim("line", F.lit(BLANKS)).alias("line"))
+        .select("doc_id", "line_no", _trimmed(F.col("line")).alias("line"))
         .filter((F.char_length("line") >= min_chars) & F.col("doc_id").isNotNull())
         .withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
     )
@@ -252,16 +261,25 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: s
     part, as nulls and blank lines never do. Without `all_links` only as many links are found as the classes need:
     the classes are the same, and n_links counts these.
     """
+    return _classes(docs, line_places(docs, min_chars, doc_id, text, short), edits, min_chars, doc_id, text, all_links)
+
+
+def line_places(docs: DataFrame, min_chars: int, doc_id: str, text: str, short: bool) -> DataFrame:
+    """(doc_id, line_no, k1, k2) of the lines that take part, stored, as the texts are split only twice."""
+    return stored(lines_of(docs, 1 if short else min_chars, doc_id, text).drop("line"), "line-places")
+
+
+def _classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int, doc_id: str, text: str,
+             all_links: bool) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs, 1 if short else min_chars, doc_id, text)
     groups = scratch.write(
-        lines.groupBy("k1", "k2").agg(
+        places.groupBy("k1", "k2").agg(
             F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")
         )
     )
     # Only one copy of a line goes on.
     firsts = scratch.write(
-        lines.filter(F.char_length("line") >= min_chars)
+        lines_of(docs, min_chars, doc_id, text)
         .join(groups.select("first.*", "k1", "k2"), ["doc_id", "line_no", "k1", "k2"], "left_semi")
         .dropDuplicates(["doc_id", "line_no", "k1", "k2"])
         .select("k1", "line")
@@ -294,25 +312,6 @@ def checked(scratch: Scratch, firsts: DataFrame, met: DataFrame, edits: int) ->
     return verified(met, texts, edits)
 
 
-# A signature is one number: the parities, above them how many of a partner's may differ, and whether the
-# key is one that the line is stored under.
-STORED = 1 << 62
-
-
-def probes(firsts: DataFrame, edits: int, asked: bool) -> DataFrame:
-    """(key, k1, sig): the keys a line is stored under, and with `asked` those it asks with too."""
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, texts = batch["k1"].to_numpy(np.int64), batch["line"].tolist()
-            for part in chunks(np.array([len(x) for x in texts], np.int64)):
-                for row, key, own, room, odd in line_probes(texts[part], edits, asked):
-                    sig = odd | room << np.uint64(PARITIES) | own.astype(np.uint64) * np.uint64(STORED)
-                    yield pd.DataFrame({"key": key.view(np.int64), "k1": ids[part][row], "sig": sig.view(np.int64)})
-
-    return firsts.select("k1", "line").mapInPandas(make, "key long, k1 long, sig long")
-
-
 def wide(firsts: DataFrame) -> DataFrame:
     """(k1, wide): parities of more kinds than a signature has room for, a sign for each word, and a line of usual length."""
 
@@ -354,7 +353,8 @@ def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     come from, which is within reach of more centres than any of them. Only lines that still are in
     different components are compared pair by pair, under keys where several lines are stored.
     """
-    stars = probes(firsts, edits, False).groupBy("key").agg(
+    rows = shared_probes(scratch, firsts, edits)
+    stars = rows.filter(F.col("sig").bitwiseAND(F.lit(STORED)) != 0).groupBy("key").agg(
         F.min(F.struct("k1", "sig")).alias("c"), F.count(F.lit(1)).alias("size")
     )
     room = lambda sig: F.shiftright(F.col(sig).bitwiseAND(F.lit(STORED - 1)), PARITIES)
@@ -363,8 +363,12 @@ def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
         F.bit_count(differ(c)) <= F.least(room("sig"), room(f"{c}.sig"))
     )
     pair = lambda c: (F.least("k1", f"{c}.k1").alias("a"), F.greatest("k1", f"{c}.k1").alias("b"))
-    met = probes(firsts, edits, True).join(stars, "key").filter((F.col("size") > 1) | fits("c"))
+    met = rows.join(stars, "key").filter((F.col("size") > 1) | fits("c"))
     met = scratch.write(met)
+    # From here on only lines that meet another one are moved. Their keys are stored first: while they are few,
+    # Spark sees it and need not shuffle all lines to find theirs.
+    near = scratch.write(met.select("k1").union(met.select("c.k1")).distinct())
+    firsts = scratch.write(firsts.join(near, "k1", "left_semi"))
     tested = scratch.write(met.filter(fits("c")).select(*pair("c")).distinct())
     links = scratch.write(checked(scratch, firsts, tested, edits))
     # Keys with one stored line are done.
@@ -421,9 +425,9 @@ def line_report(docs: DataFrame, edits: int = 2, min_chars: int = 40, doc_id: st
     first occurrence (smallest doc_id, then line_no). Rows that repeat a doc_id have the same places
     and are treated alike. Empty tables give an empty result.
     """
-    classes, _ = line_classes(docs, edits, min_chars, doc_id, text, short, all_links)
-    lines = lines_of(docs, 1 if short else min_chars, doc_id, text).drop("line")
-    return lines.join(classes, ["k1", "k2"]).select(
+    places = line_places(docs, min_chars, doc_id, text, short)
+    classes, _ = _classes(docs, places, edits, min_chars, doc_id, text, all_links)
+    return places.join(classes, ["k1", "k2"]).select(
         "doc_id", "line_no",
         F.col("class_first.doc_id").alias("class_doc"), F.col("class_first.line_no").alias("class_line"),
         "n_links",

@@ -9,6 +9,7 @@ different runs with one hash only make a pair more to verify.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 
@@ -17,7 +18,7 @@ CHUNK = 1 << 20  # characters worked on at a time; a longer line is a chunk of i
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WHITE = np.array([chr(c).isspace() for c in range(0x3001)])
+_SOLID = np.array([not chr(c).isspace() for c in range(0x3001)] + [True] * (0x110000 - 0x3001))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -26,10 +27,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_made: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    made = np.full(n, base, np.uint64)
-    made[:1] = 1
-    return np.cumprod(made, dtype=np.uint64)
+    """The first n powers; those for a chunk of usual size are kept."""
+    if len(_made.get(base, ())) >= n:
+        return _made[base][:n]
+    made = np.full(max(n, CHUNK + (CHUNK >> 4)), base, np.uint64)
+    made[0] = 1
+    made = np.cumprod(made, dtype=np.uint64)
+    if n <= 2 * CHUNK:
+        _made[base] = made
+    return made[:n]
 
 
 class Runs:
@@ -71,18 +81,18 @@ def segment_keys(runs: Runs, first: np.ndarray, sizes: np.ndarray, limit: Callab
             for i in range(e + 1):
                 at, long = short * i + np.maximum(0, i - even), short + (i >= even)
                 low, high = (max(-i, less - (e - i)), min(i, less + (e - i))) if asked else (0, 0)
-                before: list[tuple[np.ndarray, np.ndarray]] = []
-                for moved in sorted(range(low, high + 1), key=abs):
-                    start = at + moved
-                    new = (start >= 0) & (start + long <= size)
-                    begin = first[r] + np.where(new, start, 0)
-                    key = mixed(mixed(runs(begin, begin + long) + label) + np.uint64(salt << 32 | i))
-                    for k, there in before:
-                        new = new & ~(there & (k == key))
-                    before.append((key, new))
-                    rows.append(r[new])
-                    keys.append(key[new])
-                    own.append(np.full(len(rows[-1]), less == 0 and moved == 0))
+                moved = np.array(sorted(range(low, high + 1), key=abs))[:, None]
+                start = at + moved
+                new = (start >= 0) & (start + long <= size)
+                begin = first[r] + np.where(new, start, 0)
+                key = mixed(runs(begin, begin + long) + label + _salted(salt, i))
+                if len(moved) > 1:  # of equal runs the least moved one stays
+                    before = np.tri(len(moved), k=-1, dtype=bool)[:, :, None] & new
+                    new = new & ~(before & (key[:, None] == key)).any(1)
+                which, line = np.nonzero(new)
+                rows.append(r[line])
+                keys.append(key[new])
+                own.append(which == 0 if less == 0 else np.zeros(len(line), bool))
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(own)
@@ -111,7 +121,7 @@ def characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def words_of(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all lines in a row, and how many words each line has."""
-    solid = ~((codes < len(_WHITE)) & _WHITE[np.minimum(codes, len(_WHITE) - 1)])
+    solid = _SOLID[codes]
     begins, ends = np.zeros(len(codes) + 1, bool), np.zeros(len(codes) + 1, bool)
     begins[first], ends[first + sizes] = True, True
     begins[1:-1] |= ~solid[:-1]
@@ -122,30 +132,55 @@ def words_of(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, runs: Runs
     return mixed(runs(start, end) + (end - start).astype(np.uint64)), counts
 
 
+@cache
+def _elements() -> np.ndarray:
+    """What stands for each code point in a running sum."""
+    return mixed((np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+
+
 def _runs_of(codes: np.ndarray) -> Runs:
-    return Runs(mixed((codes + np.uint64(1)) * np.uint64(_BASE)))
+    return Runs(_elements()[codes])
 
 
-def line_probes(lines: list[str], edits: int, asked: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, key, own, room, parities) of non-empty lines, first by characters and then by words.
+@cache
+def _salted(salt: int, i: int) -> np.ndarray:
+    return mixed(np.array([salt << 32 | i + 1], np.uint64))
 
-    `room` is the number of parities in which a linked line may differ at most.
-    """
+
+Probes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def char_probes(lines: list[str], edits: int, asked: bool) -> tuple[Probes, np.ndarray, np.ndarray]:
+    """Probes of non-empty lines by characters, hashes of their words in a row, and how many each line has."""
     codes, first, sizes = characters(lines)
     runs = _runs_of(codes)
     row, key, own = segment_keys(runs, first, sizes, lambda n: np.full(len(n), edits, np.int64), 1, asked)
     odd = _parities((codes & np.uint32(31)).astype(np.uint64), first)
-    yield row, key, own, np.full(len(row), 2 * edits, np.uint64), odd[row]
+    return (row, key, own, np.full(len(row), 2 * edits, np.uint64), odd[row]), *words_of(codes, first, sizes, runs)
+
 
-    words, counts = words_of(codes, first, sizes, runs)
+def word_probes(words: np.ndarray, counts: np.ndarray, asked: bool) -> Probes | None:
+    """Probes by words, as `char_probes` gives these; None if there are no words."""
     held = np.flatnonzero(counts)
     if not len(held):
-        return
+        return None
     first = (np.cumsum(counts) - counts)[held]
     counts = counts[held]
     row, key, own = segment_keys(Runs(words), first, counts, word_limits, 2, asked)
     odd = _parities(words % np.uint64(PARITIES), first)
-    yield held[row], key, own, (2 * word_limits(counts)).astype(np.uint64)[row], odd[row]
+    return held[row], key, own, (2 * word_limits(counts)).astype(np.uint64)[row], odd[row]
+
+
+def line_probes(lines: list[str], edits: int, asked: bool) -> Iterator[Probes]:
+    """(row, key, own, room, parities) of non-empty lines, first by characters and then by words.
+
+    `room` is the number of parities in which a linked line may differ at most.
+    """
+    by_chars, words, counts = char_probes(lines, edits, asked)
+    yield by_chars
+    by_words = word_probes(words, counts, asked)
+    if by_words:
+        yield by_words
 
 
 def wide_parities(lines: list[str]) -> np.ndarray:
