@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import BLANKS, stored
@@ -277,13 +277,7 @@ def _classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int, doc
             F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")
         )
     )
-    # Only one copy of a line goes on.
-    firsts = scratch.write(
-        lines_of(docs, min_chars, doc_id, text)
-        .join(groups.select("first.*", "k1", "k2"), ["doc_id", "line_no", "k1", "k2"], "left_semi")
-        .dropDuplicates(["doc_id", "line_no", "k1", "k2"])
-        .select("k1", "line")
-    )
+    firsts = first_texts(scratch, lines_of(docs, min_chars, doc_id, text))
     if all_links:
         links = stored(checked(scratch, firsts, met_pairs(scratch, firsts, edits), edits), "line-links")
     else:
@@ -305,6 +299,31 @@ def _classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int, doc
     return classes, links
 
 
+def first_texts(scratch: Scratch, lines: DataFrame) -> DataFrame:
+    """(k1, line) of the distinct lines, in buckets of k1, as most texts are moved here and never again.
+
+    A text goes once from every task that has it. Lines that share k1 but not k2 are one node with several
+    texts; they hardly ever occur, so the lines are only read again for them if there are any.
+    """
+    shared = F.min("k2") != F.max("k2")
+    seen = Observation()
+    texts = lines.groupBy("k1").agg(F.first("line").alias("line"), F.first("k2").alias("k2"), shared.alias("shared"))
+    firsts = scratch.write_buckets(texts.observe(seen, F.count_if("shared").alias("n")), "k1")
+    if not seen.get.get("n", 0):
+        return firsts.select("k1", "line")
+    known = firsts.filter("shared").select("k1", F.col("k2").alias("known"))
+    others = lines.join(known, "k1").filter("k2 <> known").dropDuplicates(["k1", "k2"])
+    return scratch.write(firsts.select("k1", "line").unionByName(others.select("k1", "line")))
+
+
+def texts_of(firsts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `firsts` whose k1 is among `ids`, which are far fewer.
+
+    Where `firsts` is in buckets only the ids are moved; without the hint the texts would be sorted for it.
+    """
+    return firsts.join(ids.hint("shuffle_hash"), "k1", "left_semi")
+
+
 def checked(scratch: Scratch, firsts: DataFrame, met: DataFrame, edits: int) -> DataFrame:
     """The pairs of the written table `met` that are links; only texts of their lines are moved."""
     ends = met.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
@@ -365,10 +384,9 @@ def star_links(scratch: Scratch, firsts: DataFrame, edits: int) -> DataFrame:
     pair = lambda c: (F.least("k1", f"{c}.k1").alias("a"), F.greatest("k1", f"{c}.k1").alias("b"))
     met = rows.join(stars, "key").filter((F.col("size") > 1) | fits("c"))
     met = scratch.write(met)
-    # From here on only lines that meet another one are moved. Their keys are stored first: while they are few,
-    # Spark sees it and need not shuffle all lines to find theirs.
-    near = scratch.write(met.select("k1").union(met.select("c.k1")).distinct())
-    firsts = scratch.write(firsts.join(near, "k1", "left_semi"))
+    # From here on only lines that meet another one are moved.
+    near = met.select("k1").union(met.select("c.k1")).distinct()
+    firsts = scratch.write(texts_of(firsts, near))
     tested = scratch.write(met.filter(fits("c")).select(*pair("c")).distinct())
     links = scratch.write(checked(scratch, firsts, tested, edits))
     # Keys with one stored line are done.
