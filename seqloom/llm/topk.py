@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.storage import shuffle_width
+from seqloom.storage import dealt, shuffle_width
 
 CELLS = 256
 PACKED = "dim int, block long, ids binary, exact binary"
@@ -133,8 +133,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, query_rows: int =
         "dim", F.col("ids").alias("qids"), F.col("exact").alias("q")
     )
     # Every block of vectors meets every block of queries, so copies of the queries are dealt out to
-    # `salts` places, and the vectors, which are moved once, are spread over them.
-    salts = shuffle_width(queries.sparkSession)
+    # `salts` places, no more than there are blocks, and the vectors, which are moved once, are spread over them.
+    salts = min(shuffle_width(queries.sparkSession), vectors.count() // block_rows + 1)
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     held = packed(vectors, block_rows).withColumn("salt", (F.col("block") % salts).cast("int"))
 
@@ -148,7 +148,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, query_rows: int =
                 out += best_of_block(exact, ids, q, qids, k)
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    pairs = held.join(asked, ["dim", "salt"]).select("dim", "ids", "exact", "qids", "q")
+    # Spark judges `asked` by its size before it is copied, and would send all copies through the driver.
+    pairs = held.join(dealt(asked), ["dim", "salt"]).select("dim", "ids", "exact", "qids", "q")
     found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
